@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     # links between labels still to be joined, larger end first
     live = persist_table(
-        raw.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).groupBy("hi", "lo").agg(), "cc-edges"
+        raw.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges"
     )
     nodes = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
     labels = persist_table(nodes.select("node", F.col("node").alias("component")), "cc-labels")
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 *[c for c in ends.columns if c != end], F.coalesce(f"{end}_to", end).alias(end)
             )
         nxt = (
-            ends.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).groupBy("hi", "lo").agg()
+            ends.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
         )
         nxt = persist_table(nxt, "cc-edges")
         for old in (labels, live, hook):
