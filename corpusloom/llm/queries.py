@@ -1,13 +1,17 @@
 """The registered queries of this subpackage."""
 
-from corpusloom.llm import decontamination, sharding
+from corpusloom.llm import decontamination, media, minhash, sharding, tokencount
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op3_token_counts": tokencount.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op10_media_columns": media.op10_media_columns,
 }
 
 ORACLE_SQL = {
+    "op1_minhash_near_dedup": minhash.SQL,
     "op4_sharding": sharding.SQL,
     "op7_decontamination": decontamination.SQL,
 }
