@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corpusloom.session import ship_package
+
 
 def with_arrow_columns(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], drop: list[str] = ()
@@ -30,6 +32,7 @@ def with_arrow_columns(
             new = work(batch)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in old] + new, names=names)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def by_id(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+def by_id(df: DataFrame, ids: DataFrame, id_col: str | list[str], how: str) -> DataFrame:
     """``df`` joined with ``ids`` (stored rows: counting them is cheap) on ``id_col``.
 
     A short list is broadcast, so the texts of ``df`` aren't shuffled; a longer one takes a sort-merge join, whose

@@ -130,35 +130,15 @@ def _check(percent: int):
     return make
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``id_col``, ``n_shingles`` (long), ``component_id``, ``kept`` (boolean).
-
-    Words are A-Z-folded runs of anything but white space; a document's set is its distinct runs of ``shingle``
-    words, or its whole sequence if shorter. Two documents link if 100 * common >= ``percent`` * union.
-    component_id is the smallest id reachable, kept marks that document itself.
+def linked_components(bands: DataFrame, sets_of, percent: int) -> DataFrame:
+    """``(node, component)`` of all ids that have a link, from bucket rows ``(key, id)``.
 
-    Null, empty and wordless texts have 0 shingles, link with nothing and are kept. A row whose id is null links
-    with nothing; its component_id is null and it is kept. Rows that repeat an id share its links. Other columns
-    of ``docs`` are not read. An empty table gives an empty result.
+    ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. Stars, checks on
+    full sets and further rounds are as the module says.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fields = [("n", T.LongType()), ("f1", T.LongType()), ("f2", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
-    sig = persist_table(with_arrow_columns(docs, _signatures("text", shingle), prefixed(fields, ""), ["text"]), "minhash-signatures")
-    linked = sig.where("n > 0 and id is not null")
-
-    # classes of equal sets; those of one id need no row
-    classes = persist_table(
-        linked.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last"), "minhash-classes"
-    )
-    member = linked.drop("keys").join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    reps = by_id(linked, persist_table(member.where("id <> rep").select("id").distinct(), "minhash-copies"), "id", "left_anti")
-
-    bands = reps.select(F.explode("keys").alias("key"), "id")
     shared = persist_table(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "minhash-buckets")
     buckets = persist_table(bands.join(shared, "key").select("key", "id", "lo"), "minhash-members")
-    sets = by_id(docs.where("id is not null"), persist_table(buckets.select("id").distinct(), "minhash-candidates"), "id", "left_semi")
-    # repeated rows of an id: any one of its texts that is in a bucket has that bucket's keys; take each set once
-    sets = persist_table(with_arrow_columns(sets, _sets("text", shingle), [T.StructField("set", T.BinaryType())], ["text"]).distinct(), "minhash-sets")
+    sets = persist_table(sets_of(persist_table(buckets.select("id").distinct(), "minhash-candidates")), "minhash-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("lo"), F.col("set").alias("sb")), "lo").join(
@@ -196,6 +176,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found.isEmpty():
             break
         links, tested, turn = links.union(found), tested.union(more), turn + 1
+    return labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``id_col``, ``n_shingles`` (long), ``component_id``, ``kept`` (boolean).
+
+    Words are A-Z-folded runs of anything but white space; a document's set is its distinct runs of ``shingle``
+    words, or its whole sequence if shorter. Two documents link if 100 * common >= ``percent`` * union.
+    component_id is the smallest id reachable, kept marks that document itself.
+
+    Null, empty and wordless texts have 0 shingles, link with nothing and are kept. A row whose id is null links
+    with nothing; its component_id is null and it is kept. Rows that repeat an id get one component: the least that
+    any of its texts has. Other columns
+    of ``docs`` are not read. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fields = [("n", T.LongType()), ("f1", T.LongType()), ("f2", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    sig = persist_table(with_arrow_columns(docs, _signatures("text", shingle), prefixed(fields, ""), ["text"]), "minhash-signatures")
+    linked = sig.where("n > 0 and id is not null")
+
+    # classes of equal sets; those of one id need no row
+    classes = persist_table(
+        linked.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last"), "minhash-classes"
+    )
+    member = linked.drop("keys").join(classes, ["f1", "f2", "n"], "left").select("id", "n", "f1", "f2", F.coalesce("rep", "id").alias("rep"))
+    copies = persist_table(member.where("id <> rep").select("id", "f1", "f2").distinct(), "minhash-copies")
+    reps = by_id(linked, copies, ["id", "f1", "f2"], "left_anti")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        chosen = by_id(docs.where("id is not null"), ids, "id", "left_semi")
+        # rows that repeat an id with other texts: every text's set is compared
+        return with_arrow_columns(chosen, _sets("text", shingle), [T.StructField("set", T.BinaryType())], ["text"]).distinct()
+
+    labels = linked_components(reps.select(F.explode("keys").alias("key"), "id"), sets_of, percent)
 
     # back to all documents: a copy has its class's component
     top = persist_table(
