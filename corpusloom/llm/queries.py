@@ -1,11 +1,12 @@
 """The registered queries of this subpackage."""
 
-from corpusloom.llm import decontamination, linededup, media, minhash, sharding, tokencount
+from corpusloom.llm import decontamination, linededup, media, minhash, recompression, sharding, tokencount
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
+    "op5_substring_dedup": recompression.op5_substring_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op10_media_columns": media.op10_media_columns,
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_minhash_near_dedup": minhash.SQL,
     "op4_sharding": sharding.SQL,
+    "op5_substring_dedup": recompression.SQL,
     "op7_decontamination": decontamination.SQL,
 }
