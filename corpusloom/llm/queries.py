@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from corpusloom.llm import decontamination, linededup, media, minhash, recompression, sharding, tokencount
+from corpusloom.llm import decontamination, linededup, media, minhash, recompression, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_substring_dedup": recompression.op5_substring_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_media_columns": media.op10_media_columns,
 }
 
