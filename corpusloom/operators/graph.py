@@ -1,4 +1,4 @@
-"""Connected components by min-label propagation with pointer jumping."""
+"""Connected components by hooking labels and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,48 +11,38 @@ from corpusloom.session import drop_table, persist_table
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node that an edge names; component is its smallest node.
 
-    Each round keeps a forest of (node -> smaller label) links: a node takes the least label among its
-    neighbours' labels, then labels are replaced by their own labels (pointer jumping), so chains
-    halve. Every step is a join or a grouped minimum with partial aggregation, so a star of any size
-    never meets in one task unaggregated. Rounds end when no edge joins two labels. Edges with a null
-    end and self-loops are ignored; repeated edges do no harm; no edges give an empty result.
+    In each round every label hooks onto the least label linked below it, hooks are followed one step further, and
+    the edges are renamed; edges inside one label go. As hooks only go down, the smallest node of a component
+    keeps its own label, and once no edge is left all labels are the smallest. Chains halve each round; stars take
+    one. Every step is a grouped minimum with partial aggregation or a join that Spark may split, so a star of any
+    size never meets in one task unaggregated. Only the hooks of each round are stored; nodes are renamed once, at
+    the end. Edges with a null end and self-loops are ignored; repeated edges do no harm; no edges give an empty
+    result.
     """
-    raw = (
-        edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    )
-    # links between labels still to be joined, larger end first
-    live = persist_table(
-        raw.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges"
-    )
-    nodes = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-    labels = persist_table(nodes.select("node", F.col("node").alias("component")), "cc-labels")
+    a, b = F.col(src), F.col(dst)
+    live = persist_table(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "cc-edges")
+    first = live
+    hooks = []
     while not live.isEmpty():
-        # every label hooks onto the least label linked below it: a forest, as hooks only go down
         hook = live.groupBy("hi").agg(F.min("lo").alias("to"))
-        hook = persist_table(hook, "cc-hook")
-        while True:
-            up = hook.select(F.col("hi").alias("to"), F.col("to").alias("top"))
-            jumped = hook.join(up, "to", "left").select("hi", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved"))
-            jumped = persist_table(jumped, "cc-jump")
-            drop_table(hook)
-            hook = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
-        new = labels.join(hook.select(F.col("hi").alias("component"), "to"), "component", "left").select(
-            "node", F.coalesce("to", "component").alias("component")
-        )
-        new = persist_table(new, "cc-labels")
+        above = hook.select(F.col("hi").alias("to"), F.col("to").alias("top"))
+        hook = persist_table(hook.join(above, "to", "left").select(F.col("hi").alias("label"), F.coalesce("top", "to").alias("to")), "cc-hooks")
+        hooks.append(hook)
         ends = live
         for end in ("hi", "lo"):
-            ends = ends.join(hook.select(F.col("hi").alias(end), F.col("to").alias(f"{end}_to")), end, "left").select(
-                *[c for c in ends.columns if c != end], F.coalesce(f"{end}_to", end).alias(end)
-            )
-        nxt = (
-            ends.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
-        )
-        nxt = persist_table(nxt, "cc-edges")
-        for old in (labels, live, hook):
-            drop_table(old)
-        labels, live = new, nxt
-    return labels
+            ends = _renamed(ends, hook, end)
+        ends = ends.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
+        nxt = persist_table(ends, "cc-edges")
+        if live is not first:
+            drop_table(live)
+        live = nxt
+    nodes = first.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("component", F.col("node"))
+    for hook in hooks:
+        nodes = _renamed(nodes, hook, "component")
+    return persist_table(nodes, "cc-labels")
+
+
+def _renamed(df: DataFrame, hook: DataFrame, column: str) -> DataFrame:
+    """``df`` with the labels in ``column`` replaced where they hook onto another."""
+    out = df.join(hook.withColumnRenamed("label", column), column, "left")
+    return out.select(*[F.coalesce("to", c).alias(c) if c == column else c for c in df.columns])
