@@ -172,13 +172,14 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _set_rows, "id long, set binary"
         ).dropDuplicates(["id"])
 
-    labels = linked_components(bands, sets_of, PERCENT)
+    labels = persist_table(linked_components(bands, sets_of, PERCENT), "line-labels")
     label = labels.select(F.col("node").alias("rep"), "component")
     # every line that shares its component: copies, their classes' first lines, and linked lines
     rooted = (
         copies.join(label, "rep", "left").select("id", F.coalesce("component", "rep").alias("root"))
         .union(classes.select(F.col("rep")).join(label, "rep", "left").select(F.col("rep").alias("id"), F.coalesce("component", "rep").alias("root")))
         .union(labels.select(F.col("node").alias("id"), F.col("component").alias("root")))
+        .union(labels.select(F.col("component").alias("id"), F.col("component").alias("root")))
         .distinct()
     )
     placed = persist_table(by_id(lines.select("doc", "tk", "line", "id"), persist_table(rooted, "line-roots"), "id", "inner").drop("id"), "line-placed")

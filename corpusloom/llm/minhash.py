@@ -131,7 +131,7 @@ def _check(percent: int):
 
 
 def linked_components(bands: DataFrame, sets_of, percent: int) -> DataFrame:
-    """``(node, component)`` of all ids that have a link, from bucket rows ``(key, id)``.
+    """``(node, component)`` of all ids that have a link to a smaller one, from bucket rows ``(key, id)``.
 
     ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. Stars, checks on
     full sets and further rounds are as the module says.
@@ -147,36 +147,35 @@ def linked_components(bands: DataFrame, sets_of, percent: int) -> DataFrame:
         ok = with_arrow_columns(both, _check(percent), [T.StructField("ok", T.BooleanType())], ["sa", "sb"])
         return persist_table(ok.where("ok").select("hi", "lo").distinct(), "minhash-links")
 
-    pairs = persist_table(buckets.where("id <> lo").select(F.col("id").alias("hi"), "lo").distinct(), "minhash-pairs")
-    tested, links, turn = pairs, verified(pairs), 1
-    while True:
-        labels = connected_components(links, "hi", "lo")
-        placed = persist_table(
-            buckets.select("key", "id")
-            .join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-            .select("key", "id", F.coalesce("component", "id").alias("component")),
-            "minhash-placed",
-        )
+    tested = persist_table(buckets.where("id <> lo").select(F.col("id").alias("hi"), "lo").distinct(), "minhash-pairs")
+    found, turn = verified(tested), 1
+    placed = buckets.select("key", "id", F.col("id").alias("component"))
+    while not found.isEmpty():
+        # links between components: their components are the new names
+        ends = found
+        if turn > 1:
+            now = persist_table(placed.select("id", "component").distinct(), "minhash-labels")
+            for end in ("hi", "lo"):
+                ends = ends.join(now.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
+        names = connected_components(ends, "hi", "lo").select(F.col("node").alias("component"), F.col("component").alias("new"))
+        placed = persist_table(placed.join(names, "component", "left").select("key", "id", F.coalesce("new", "component").alias("component")), "minhash-placed")
         centre = persist_table(
             placed.groupBy("key")
             .agg(
                 F.min("component").alias("c0"),
                 F.max("component").alias("c1"),
-                F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("mid"), F.col("component").alias("mc"))).alias("m"),
+                F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("m"),
             )
             .where("c0 < c1")
-            .select("key", "m.mid", "m.mc"),
+            .select("key", F.col("m.id").alias("mid"), F.col("m.component").alias("mc")),
             "minhash-centres",
         )
         more = placed.join(centre, "key").where("component <> mc").select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo"))
         more = persist_table(more.distinct().join(tested, ["hi", "lo"], "left_anti"), "minhash-pairs")
         if more.isEmpty():
             break
-        found = verified(more)
-        if found.isEmpty():
-            break
-        links, tested, turn = links.union(found), tested.union(more), turn + 1
-    return labels
+        found, tested, turn = verified(more), tested.union(more), turn + 1
+    return placed.where("id <> component").select(F.col("id").alias("node"), "component").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
