@@ -105,8 +105,9 @@ def count_pieces(df: DataFrame, pieces: set[bytes], text_col: str = "text", pref
             words, total, most = [], [], []
             for t in batch.column(batch.schema.get_field_index(text_col)):
                 found = WORD.findall((t.as_py() or "").lower())
-                for w in set(found) - known.keys():
-                    known[w] = counter.count(w.encode("utf-8", "surrogatepass"))
+                for w in set(found):
+                    if w not in known:
+                        known[w] = counter.count(w.encode("utf-8", "surrogatepass"))
                 counts = [known[w] for w in found]
                 words.append(len(found))
                 total.append(sum(counts))
