@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow columns that may be broadcast: at 16 bytes a row, 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the files that hold them.
+BROADCAST_BYTES = 32 << 20
 
 
 def by_id(df: DataFrame, ids: DataFrame, id_col: str | list[str], how: str) -> DataFrame:
@@ -15,8 +17,14 @@ def by_id(df: DataFrame, ids: DataFrame, id_col: str | list[str], how: str) -> D
     A short list is broadcast, so the texts of ``df`` aren't shuffled; a longer one takes a sort-merge join, whose
     skewed keys Spark splits.
     """
-    if ids.count() <= BROADCAST_ROWS:
+    stored = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if stored <= BROADCAST_BYTES and ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     else:
         ids = ids.hint("merge")
     return df.join(ids, id_col, how)
+
+
+def unrepeated(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no key repeats (null keys aside)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.arrowmap import with_arrow_columns
-from corpusloom.llm.idjoin import by_id
+from corpusloom.llm.idjoin import by_id, unrepeated
 from corpusloom.llm.minhash import linked_components
 from corpusloom.llm.textblocks import LOWER, Block, blocks, long_list, mix, stream
 from corpusloom.session import persist_table, ship_package
@@ -29,6 +29,9 @@ from corpusloom.session import persist_table, ship_package
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
+#: Sketch bits in which a candidate pair may differ. At similarity 0.8 each of 56 differs with chance 0.1: more than 18
+#: in 1 of 10^6 pairs. Unlike lines differ in about 25.
+MOST_BITS = 18
 _PICK = (stream(41, BINS * 512).reshape(BINS, 512) >> np.uint64(33)).astype(np.int64) % BINS
 _ROW, _SALT, _A = stream(42, ROWS), stream(43, BANDS), stream(44, 8)
 _KEY_BITS = 44
@@ -80,8 +83,8 @@ class Lines:
         return g, at
 
 
-def bucket_keys(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A (lines, bands) grid of bucket keys."""
+def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A (lines, bands) grid of bucket keys, and a sketch of each line: one bit of each bin."""
     n = len(at) - 1
     grid = np.zeros((n, BINS), np.uint64)
     with np.errstate(over="ignore"):
@@ -109,11 +112,12 @@ def bucket_keys(g: np.ndarray, at: np.ndarray) -> np.ndarray:
         for r, c in zip(row.tolist(), col.tolist(), strict=True):  # all looks missed: the next full bin round the circle
             filled = np.flatnonzero(full[r])
             grid[r, c] = grid[r, filled[np.searchsorted(filled, c) % len(filled)]]
+        sketch = ((mix(grid) & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)).sum(1, dtype=np.uint64)
         key = mix(mix(grid.reshape(n, BANDS, ROWS) * _ROW).sum(2, dtype=np.uint64) + _SALT)
-    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS)
+    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS), sketch
 
 
-_LINES = "doc long, tk long, line int, f1 long, f2 long, keys array<long>"
+_LINES = "doc long, tk long, line int, f1 long, f2 long, keys array<long>, sketch long"
 _LIMIT = 1 << 19
 
 
@@ -129,11 +133,12 @@ def _line_rows(batches):
             with np.errstate(over="ignore"):
                 f1 = np.add.reduceat(g, at[:-1])
                 f2 = np.add.reduceat(mix(g ^ salt), at[:-1])
-            keys = bucket_keys(g, at)
+            keys, sketch = bucket_keys(g, at)
             who = pa.array(lines.doc + block.lo)
             columns = [ids.take(who), tks.take(who), pa.array(lines.number.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
             columns.append(long_list(keys.reshape(-1), np.arange(len(keys) + 1) * BANDS))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys"])
+            columns.append(pa.array(sketch.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys", "sketch"])
 
 
 def _set_rows(batches):
@@ -170,9 +175,20 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = persist_table(of_doc.groupBy("doc", "tk").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "line-wanted")
         return by_id(keyed, wanted, ["doc", "tk"], "inner").select("text", "wanted").mapInArrow(
             _set_rows, "id long, set binary"
-        ).dropDuplicates(["id"])
+        )
 
-    labels = persist_table(linked_components(bands, sets_of, PERCENT), "line-labels")
+    def all_sets(ids: DataFrame) -> DataFrame:
+        # rows that repeat an id and a text give equal sets
+        return sets_of(ids) if single else sets_of(ids).dropDuplicates(["id"])
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        own = lines.select("id", "sketch")
+        for end in ("hi", "lo"):
+            pairs = pairs.join(own.withColumnsRenamed({"id": end, "sketch": f"{end}_s"}), end)
+        return pairs.where(F.bit_count(F.col("hi_s").bitwiseXOR(F.col("lo_s"))) <= MOST_BITS).select("hi", "lo")
+
+    single = unrepeated(keyed.select("doc", "tk"), ["doc", "tk"])
+    labels = persist_table(linked_components(bands, all_sets, PERCENT, likely), "line-labels")
     label = labels.select(F.col("node").alias("rep"), "component")
     # every line that shares its component: copies, their classes' first lines, and linked lines
     rooted = (

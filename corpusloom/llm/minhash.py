@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
-from corpusloom.llm.idjoin import by_id
+from corpusloom.llm.idjoin import by_id, unrepeated
 from corpusloom.llm.textblocks import NOT_SPACE, blocks, gram_hash, long_list, mix, stream, words
 from corpusloom.operators.graph import connected_components
 from corpusloom.session import persist_table
@@ -130,17 +130,21 @@ def _check(percent: int):
     return make
 
 
-def linked_components(bands: DataFrame, sets_of, percent: int) -> DataFrame:
+def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> DataFrame:
     """``(node, component)`` of all ids that have a link to a smaller one, from bucket rows ``(key, id)``.
 
-    ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. Stars, checks on
-    full sets and further rounds are as the module says.
+    ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. ``likely(pairs)`` may
+    drop pairs ``(hi, lo)`` that a sketch rules out before any set is made. Stars, checks on full sets and further
+    rounds are as the module says.
     """
     shared = persist_table(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "minhash-buckets")
-    buckets = persist_table(bands.join(shared, "key").select("key", "id", "lo"), "minhash-members")
-    sets = persist_table(sets_of(persist_table(buckets.select("id").distinct(), "minhash-candidates")), "minhash-sets")
+    buckets = persist_table(by_id(bands, shared, "key", "inner").select("key", "id", "lo"), "minhash-members")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        if likely:
+            pairs = persist_table(likely(pairs), "minhash-likely")
+        ids = persist_table(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct(), "minhash-candidates")
+        sets = persist_table(sets_of(ids), "minhash-sets")
         both = pairs.join(sets.select(F.col("id").alias("lo"), F.col("set").alias("sb")), "lo").join(
             sets.select(F.col("id").alias("hi"), F.col("set").alias("sa")), "hi"
         )
@@ -205,9 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(ids: DataFrame) -> DataFrame:
         chosen = by_id(docs.where("id is not null"), ids, "id", "left_semi")
-        # rows that repeat an id with other texts: every text's set is compared
-        return with_arrow_columns(chosen, _sets("text", shingle), [T.StructField("set", T.BinaryType())], ["text"]).distinct()
+        out = with_arrow_columns(chosen, _sets("text", shingle), [T.StructField("set", T.BinaryType())], ["text"])
+        # where rows repeat an id, every text's set is compared, each once
+        return out if single else out.distinct()
 
+    single = unrepeated(reps.select("id"), ["id"])
     labels = linked_components(reps.select(F.explode("keys").alias("key"), "id"), sets_of, percent)
 
     # back to all documents: a copy has its class's component
