@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of narrow columns that may be broadcast: at 16 bytes a row, 16 MB.
-BROADCAST_ROWS = 1_000_000
-#: Bytes of the files that hold them.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of rows, as they lie in memory, that may be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
 def by_id(df: DataFrame, ids: DataFrame, id_col: str | list[str], how: str) -> DataFrame:
-    """``df`` joined with ``ids`` (stored rows: counting them is cheap) on ``id_col``.
+    """``df`` joined with ``ids`` (stored rows: measuring them is cheap) on ``id_col``.
 
-    A short list is broadcast, so the texts of ``df`` aren't shuffled; a longer one takes a sort-merge join, whose
+    A list proven small is broadcast, so the texts of ``df`` aren't shuffled; a longer one takes a sort-merge join, whose
     skewed keys Spark splits.
     """
-    stored = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if stored <= BROADCAST_BYTES and ids.count() <= BROADCAST_ROWS:
+    if memory_bytes(ids) <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     else:
         ids = ids.hint("merge")
     return df.join(ids, id_col, how)
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: 8 a field and 8 a row, and what arrays, texts and bytes hold."""
+    held = F.lit(8 * (len(df.columns) + 1))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            held = held + 8 * F.coalesce(F.size(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.StringType | T.BinaryType):
+            held = held + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(held.cast("long")), F.lit(0))).first()[0])
+
+
 def unrepeated(df: DataFrame, keys: list[str]) -> bool:
     """Whether no key repeats (null keys aside)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

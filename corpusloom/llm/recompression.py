@@ -141,15 +141,15 @@ def _anchor_rows(batches):
 def _window_rows(batches):
     """(w1, w2, doc, tk, at): the names of the windows in the ranges given."""
     for batch in batches:
-        spans = batch.column(3)
+        los, his = batch.column(3), batch.column(4)
         for block in blocks(batch.column(2), _LIMIT):
             w = words(block, NOT_SPACE, False)
             one, two = _names128(w.hash)
             at, who = [], []
             for k in range(block.hi - block.lo):
-                flat = np.asarray(spans[block.lo + k].values.flatten()[0]), np.asarray(spans[block.lo + k].values.flatten()[1])
-                size = flat[1] - flat[0]
-                pos = np.repeat(flat[0] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                lo, hi = np.asarray(los[block.lo + k].values), np.asarray(his[block.lo + k].values)
+                size = hi - lo
+                pos = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 at.append(pos)
                 who.append(np.full(len(pos), k))
             at, who = np.concatenate(at), np.concatenate(who)
@@ -162,7 +162,8 @@ def _window_rows(batches):
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(doc, tk, starts)``: per document the sorted start words of windows that a smaller document also has; and
+    """``(doc, tk, lo, hi)``: per document the runs of start words, first and last, of windows that a smaller document
+    also has; and
     ``(doc, tk)`` of documents whose every window repeats since a smaller document has the same word sequence.
 
     ``tk`` is a hash of the text: rows that repeat an id and a text are one document, other texts of an id are
@@ -182,17 +183,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = persist_table(
         spans.groupBy("name").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("name"), "repeat-anchors"
     )
+    ranges = spans.join(shared, "name").groupBy("doc", "tk").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     ranges = persist_table(
-        spans.join(shared, "name").groupBy("doc", "tk").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")), "repeat-ranges"
-    )
+        ranges.select(
+            "doc", "tk",
+            F.expr("transform(filter(r, (x, i) -> i = 0 OR r[i - 1].hi <> x.lo), x -> x.lo)").alias("lo"),
+            F.expr("transform(filter(r, (x, i) -> i = size(r) - 1 OR r[i + 1].lo <> x.hi), x -> x.hi)").alias("hi"),
+        ),
+        "repeat-ranges",
+    )
     windows = persist_table(
-        by_id(rest, ranges, ["doc", "tk"], "inner").select("doc", "tk", "text", "ranges").mapInArrow(_window_rows, "w1 long, w2 long, doc long, tk long, at int"),
+        by_id(rest, ranges, ["doc", "tk"], "inner").select("doc", "tk", "text", "lo", "hi").mapInArrow(_window_rows, "w1 long, w2 long, doc long, tk long, at int"),
         "repeat-windows",
     )
     source = persist_table(
         windows.groupBy("w1", "w2").agg(F.min("doc").alias("src"), F.max("doc").alias("hi")).where("src < hi").drop("hi"), "repeat-sources"
     )
-    starts = windows.join(source, ["w1", "w2"]).where("doc > src").groupBy("doc", "tk").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    starts = windows.join(source, ["w1", "w2"]).where("doc > src").groupBy("doc", "tk").agg(F.array_sort(F.collect_set("at")).alias("s"))
+    starts = starts.select(
+        "doc", "tk", F.expr("filter(s, (x, i) -> i = 0 OR s[i - 1] <> x - 1)").alias("lo"), F.expr("filter(s, (x, i) -> i = size(s) - 1 OR s[i + 1] <> x + 1)").alias("hi")
+    )
     return persist_table(starts, "repeat-starts"), whole
 
 
@@ -200,7 +210,7 @@ def _strip(text_col: str):
     def make():
         def work(batch):
             col = lambda c: batch.column(batch.schema.get_field_index(c))
-            texts, starts, whole = col(text_col), col("__loom_starts"), col("__loom_whole").to_pylist()
+            texts, los, his, whole = col(text_col), col("__loom_lo"), col("__loom_hi"), col("__loom_whole").to_pylist()
             total, removed, kept = [], [], []
             for block in blocks(texts, _LIMIT):
                 w = words(block, NOT_SPACE, False)
@@ -211,11 +221,10 @@ def _strip(text_col: str):
                     gone = np.zeros(b - a, bool)
                     if whole[block.lo + k]:
                         gone[:] = True
-                    elif (s := starts[block.lo + k]).is_valid:
+                    elif los[block.lo + k].is_valid:
                         edge = np.zeros(b - a + 1, np.int64)
-                        at = np.asarray(s.values)
-                        edge[at] += 1
-                        edge[at + WINDOW] -= 1
+                        np.add.at(edge, np.asarray(los[block.lo + k].values), 1)
+                        np.add.at(edge, np.asarray(his[block.lo + k].values) + WINDOW, -1)
                         gone = np.cumsum(edge)[:-1] > 0
                     stay = np.flatnonzero(~gone) + a
                     removed.append(int(gone.sum()))
@@ -236,12 +245,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     starts, whole = repeats(docs, id_col, text_col)
     keys = {"doc": "__loom_doc", "tk": "__loom_tk"}
     keyed = docs.withColumns({"__loom_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__loom_tk": F.xxhash64(text_col)})
-    found = persist_table(
-        starts.select("doc", "tk", "starts", F.lit(False).alias("whole")).unionByName(whole.withColumns({"starts": F.lit(None).cast("array<int>"), "whole": F.lit(True)})), "repeat-found"
-    ).withColumnsRenamed(keys | {"starts": "__loom_starts", "whole": "__loom_whole"})
-    joined = by_id(keyed, found, list(keys.values()), "left").select(*docs.columns, "__loom_starts", F.coalesce("__loom_whole", F.lit(False)).alias("__loom_whole"))
+    no = F.lit(None).cast("array<int>")
+    found = persist_table(starts.withColumn("whole", F.lit(False)).unionByName(whole.withColumns({"lo": no, "hi": no, "whole": F.lit(True)})), "repeat-found")
+    found = found.withColumnsRenamed(keys | {c: f"__loom_{c}" for c in ("lo", "hi", "whole")})
+    joined = by_id(keyed, found, list(keys.values()), "left").select(*docs.columns, "__loom_lo", "__loom_hi", F.coalesce("__loom_whole", F.lit(False)).alias("__loom_whole"))
     fields = [T.StructField(prefix + "n_words", T.LongType()), T.StructField(prefix + "n_removed", T.LongType()), T.StructField(prefix + "kept_text", T.StringType())]
-    return with_arrow_columns(joined, _strip(text_col), fields, ["__loom_starts", "__loom_whole"])
+    return with_arrow_columns(joined, _strip(text_col), fields, ["__loom_lo", "__loom_hi", "__loom_whole"])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
