@@ -5,8 +5,8 @@
    hash picks (optimal densification). Bands of the signature are the bucket keys.
 2. Documents with equal sets are one class; only its smallest document goes on. Copies in any number cost one row.
 3. In a bucket, every member is paired with one centre: a star, so pairs grow as the rows, not as their square.
-   Each pair is checked on full sets. Later rounds take another centre in the buckets that still hold more than
-   one component, against the members outside the centre's component, until a round adds no link.
+   Each pair is checked on full sets. Later rounds take a few other centres in the buckets that still hold more
+   than one component, against the members outside the centre's component, until a round adds no link.
 4. Components come from distributed label propagation.
 
 At similarity 0.8, 32 bands of 5 rows miss a pair in 3 of 10^6; links through a third document lower that.
@@ -27,6 +27,8 @@ from corpusloom.operators.graph import connected_components
 from corpusloom.session import persist_table
 
 BANDS, ROWS = 32, 5
+#: Centres that a bucket takes in each round after the first.
+CENTRES = 4
 
 
 class Signer:
@@ -137,8 +139,10 @@ def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> D
     drop pairs ``(hi, lo)`` that a sketch rules out before any set is made. Stars, checks on full sets and further
     rounds are as the module says.
     """
-    shared = persist_table(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "minhash-buckets")
-    buckets = persist_table(by_id(bands, shared, "key", "inner").select("key", "id", "lo"), "minhash-members")
+    shared = persist_table(
+        bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "minhash-buckets"
+    )
+    buckets = persist_table(by_id(bands, shared, "key", "inner").select("key", "id", "size"), "minhash-members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         if likely:
@@ -151,7 +155,11 @@ def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> D
         ok = with_arrow_columns(both, _check(percent), [T.StructField("ok", T.BooleanType())], ["sa", "sb"])
         return persist_table(ok.where("ok").select("hi", "lo").distinct(), "minhash-links")
 
-    tested = persist_table(buckets.where("id <> lo").select(F.col("id").alias("hi"), "lo").distinct(), "minhash-pairs")
+    # the first centre of a bucket is the member with most company in all its buckets: of edited copies, the original
+    weight = persist_table(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "minhash-weights")
+    first = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("mid"))
+    first = buckets.join(persist_table(first, "minhash-centres"), "key").where("id <> mid")
+    tested = persist_table(first.select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo")).distinct(), "minhash-pairs")
     found, turn = verified(tested), 1
     placed = buckets.select("key", "id", F.col("id").alias("component"))
     while not found.isEmpty():
@@ -163,15 +171,12 @@ def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> D
                 ends = ends.join(now.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
         names = connected_components(ends, "hi", "lo").select(F.col("node").alias("component"), F.col("component").alias("new"))
         placed = persist_table(placed.join(names, "component", "left").select("key", "id", F.coalesce("new", "component").alias("component")), "minhash-placed")
+        some = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn), F.lit(k))) for k in range(CENTRES)]))
         centre = persist_table(
             placed.groupBy("key")
-            .agg(
-                F.min("component").alias("c0"),
-                F.max("component").alias("c1"),
-                F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("m"),
-            )
+            .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), some.alias("m"))
             .where("c0 < c1")
-            .select("key", F.col("m.id").alias("mid"), F.col("m.component").alias("mc")),
+            .select("key", F.inline("m").alias("mid", "mc")),
             "minhash-centres",
         )
         more = placed.join(centre, "key").where("component <> mc").select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo"))
