@@ -64,11 +64,26 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs the readers nothing but a reread of the file.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+    if top not in _TOPS:
+        _TOPS.add(top)
+        atexit.register(_remove_shared, spark, top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TOPS: set[str] = set()
+
+
+def _remove_shared(spark: SparkSession, top: str) -> None:
+    """The application's tables go with it, if its session is still there to reach the store."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a frame that ``persist_table`` returned and nothing reads any more."""
     spark = df.sparkSession
