@@ -256,3 +256,54 @@ def value_agreement(t):
     """Recursive agreement of JSON values under the three rules."""
     e = t.events.select("event_id", "props", F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(".0000001}")).alias("got"))
     return e.select("event_id", agreement_udf(agree)("props", "got").alias("agrees"), agreement_udf(agree_absolute)("props", "got").alias("older"), agreement_udf(agree_or_both_fail)("props", "got").alias("differential"))
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN l.quality = 1 AND contains(d.text, 'the ') THEN 'vec:' || substr(d.text, 1, 40) ELSE substr(d.text, 1, 40) END AS solution,
+  CASE WHEN l.quality = 1 AND contains(d.text, 'the ') THEN substr(d.text, 1, 40) END AS solution_imperative FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def record_rewrite(t):
+    """A rewrite is swapped in where there is one and the text loops; the original is kept beside it."""
+    old = F.substring("text", 1, 40)
+    swap = (F.col("quality") == 1) & F.col("text").contains("the ")
+    j = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return j.select("doc_id", F.when(swap, F.concat(F.lit("vec:"), old)).otherwise(old).alias("solution"), F.when(swap, old).alias("solution_imperative"))
+
+
+@query("""
+WITH o AS (SELECT event_type, CASE WHEN value < 5 THEN '''type' ELSE 'trace' || chr(10) || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS out, CAST(CAST(floor(value) AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS want FROM events)
+SELECT event_type, CASE WHEN starts_with(out, '''') THEN 'error' WHEN split_part(out, chr(10), -1) = want THEN 'pass' ELSE 'wrong answer' END AS outcome, count(*) AS n FROM o GROUP BY ALL
+""")
+def own_test_check(t):
+    """The last line of a run's output against the expected one; a leading quote is an error."""
+    whole = F.floor("value").cast("long")
+    o = t.events.select(
+        "event_type", F.when(F.col("value") < 5, "'type").otherwise(F.concat(F.lit("trace\n"), whole.cast("string"))).alias("out"),
+        (whole + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).cast("string").alias("want"),
+    )
+    outcome = F.when(F.col("out").startswith("'"), "error").when(F.substring_index("out", "\n", -1) == F.col("want"), "pass").otherwise("wrong answer")
+    return o.groupBy("event_type", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT p_partkey, '// @overview' || chr(10) || '// ' || p_name || chr(10) || '//' || chr(10) || '// @param size {int}  part size' || chr(10) || '// @param price {float}  retail price' || chr(10) || '//' || chr(10) ||
+ '// @return {int}   result' || chr(10) || 'f_' || p_partkey || ':{[size;price]' || chr(10) || '    }' AS prompt FROM part
+""")
+def prompt_render(t):
+    """A documented stub: overview, tagged parameters, return, signature."""
+    args = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("t"), F.lit(d).alias("d")) for n, k, d in (("size", "int", "part size"), ("price", "float", "retail price"))])
+    params = F.transform(args, lambda a: F.concat(F.lit("// @param "), a["n"], F.lit(" {"), a["t"], F.lit("}  "), a["d"]))
+    head = F.concat(F.lit("f_"), "p_partkey", F.lit(":{["), F.array_join(F.transform(args, lambda a: a["n"]), ";"), F.lit("]"))
+    lines = F.concat(F.array(F.lit("// @overview"), F.concat(F.lit("// "), "p_name"), F.lit("//")), params, F.array(F.lit("//"), F.lit("// @return {int}   result"), head, F.lit("    }")))
+    return t.part.select("p_partkey", F.array_join(lines, "\n").alias("prompt"))
+
+
+@query("""
+WITH o AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'q error' WHEN value > 90 THEN 'pass' WHEN value < 10 THEN 'did not load' ELSE 'wrong answer' END AS outcome FROM events)
+SELECT user_id, string_agg(outcome || '=' || n, ',' ORDER BY outcome) AS outcomes FROM (SELECT user_id, outcome, count(*) AS n FROM o GROUP BY ALL) GROUP BY user_id
+""")
+def failure_taxonomy(t):
+    """Outcome counts of each problem."""
+    kind = F.when(F.col("event_type") == "error", "q error").when(F.col("value") > 90, "pass").when(F.col("value") < 10, "did not load").otherwise("wrong answer")
+    c = t.events.groupBy("user_id", kind.alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "n"))), lambda x: F.concat(x["o"], F.lit("="), x["n"])), ",").alias("outcomes"))
