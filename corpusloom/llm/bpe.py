@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
 
 #: Distinct words whose ids a worker remembers before it starts anew, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_500_000, 64
 #: Bytes beyond which a word takes the query for long words.
 LONG_WORD = 64
 #: Token rows that one decoding query takes, beyond one text.
@@ -198,7 +198,7 @@ def _share(df: DataFrame, ranks: dict[bytes, int], pattern: str):
     return lambda: _codec(shared.value, digest, pattern)
 
 
-def _texts(batch, name, chars: int = 3 << 17):
+def _texts(batch, name, chars: int = 1 << 19):
     """The texts of a column (null: empty), a bounded number of characters at a time."""
     part, size = [], 0
     for t in batch.column(batch.schema.get_field_index(name)):
