@@ -7,7 +7,9 @@
 3. In a bucket, every member is paired with one centre: a star, so pairs grow as the rows, not as their square.
    Each pair is checked on full sets. Later rounds take a few other centres in the buckets that still hold more
    than one component, against the members outside the centre's component, until a round adds no link.
-4. Components come from distributed label propagation.
+4. Members of buckets that then still hold more than one component are joined exactly: two sets at the threshold
+   share a shingle of their rarest few, at places that leave room for the rest. No pair of them is left out.
+5. Components come from distributed label propagation.
 
 At similarity 0.8, 32 bands of 5 rows miss a pair in 3 of 10^6; links through a third document lower that.
 """
@@ -24,11 +26,13 @@ from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id, unrepeated
 from corpusloom.llm.textblocks import NOT_SPACE, blocks, gram_hash, long_list, mix, stream, words
 from corpusloom.operators.graph import connected_components
-from corpusloom.session import persist_table
+from corpusloom.session import persist_table, ship_package
 
 BANDS, ROWS = 32, 5
 #: Centres that a bucket takes in each round after the first.
 CENTRES = 4
+#: Bits of the table that counts shingles; shingles that share a place in it share a count.
+COUNT_BITS = 20
 
 
 class Signer:
@@ -132,45 +136,128 @@ def _check(percent: int):
     return make
 
 
+def _count_rows(batches):
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            np.add.at(total, _place(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
+
+
+def _place(sets: np.ndarray) -> np.ndarray:
+    return (mix(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _prefix_rows(counts, percent: int):
+    """(g, component, id, n, at, short): the rarest shingles of each set, those that a partner at the threshold must share one of.
+
+    ``short`` marks the fewer that do for a partner of at least the same size.
+    """
+
+    def run(batches):
+        count = counts.value
+        for batch in batches:
+            g, at, short, size, rows = [], [], [], [], []
+            for k, x in enumerate(batch.column(2)):
+                sets = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(sets)
+                long_ = n + percent * n // -100 + 1
+                rare = sets[np.lexsort((sets, count[_place(sets)]))[:long_]]
+                g.append(rare)
+                at.append(np.arange(long_))
+                short.append(np.arange(long_) < n + 2 * percent * n // -(100 + percent) + 1)
+                size.append(np.full(long_, n))
+                rows.append(np.full(long_, k))
+            if not g:
+                continue
+            rows = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(g).view(np.int64)), batch.column(1).take(rows), batch.column(0).take(rows),
+                    pa.array(np.concatenate(size)), pa.array(np.concatenate(at)), pa.array(np.concatenate(short)),
+                ],
+                names=["g", "component", "id", "n", "at", "short"],
+            )
+
+    return run
+
+
+def exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(hi, lo)`` of other components, from stored ``(id, component, set)`` rows: all at the threshold are among them.
+
+    Shingles are ordered by how many sets hold them, the rarest first. Of two sets at the threshold, the smaller has the
+    first shingle they share in its short prefix, the larger in its long one, and behind it both have enough shingles left
+    for the overlap. Members of one component never meet: components that share a shingle are paired first.
+    """
+    spark = sets.sparkSession
+    ship_package(spark)
+    found = sets.select("set").mapInArrow(_count_rows, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(1 << COUNT_BITS, np.int64)
+    count[found["place"].to_numpy()] = found["n"].to_numpy()
+    rows = sets.select("id", "component", "set").mapInArrow(
+        _prefix_rows(spark.sparkContext.broadcast(count), percent),
+        T.StructType([T.StructField("g", T.LongType()), T.StructField("component", sets.schema["component"].dataType), T.StructField("id", sets.schema["id"].dataType), *prefixed([("n", T.LongType()), ("at", T.LongType()), ("short", T.BooleanType())], "")]),
+    )
+    rows = persist_table(rows, "minhash-prefixes")
+    shared = rows.groupBy("g").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("short").alias("probed")).where("c0 < c1 and probed").select("g")
+    rows = persist_table(rows.join(shared, "g", "left_semi"), "minhash-shared")
+    small, large = rows.where("short").drop("short"), rows.drop("short").withColumnsRenamed({"component": "c2", "id": "id2", "n": "n2", "at": "at2"})
+    # what holds for every pair of members rules out pairs of components
+    of = lambda side, c, n, at, to: side.groupBy("g", c).agg(F.min(n).alias(f"n{to}"), F.max(F.col(n) - F.col(at)).alias(f"left{to}"))
+    both = of(small, "component", "n", "at", "_a").join(of(large, "c2", "n2", "at2", "_b"), "g")
+    both = both.where((F.col("component") != F.col("c2")) & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)).select("g", "component", "c2")
+    pairs = both.join(small, ["g", "component"]).join(large, ["g", "c2"])
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    pairs = pairs.where(room & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))))
+    return pairs.select(F.greatest("id", "id2").alias("hi"), F.least("id", "id2").alias("lo")).distinct()
+
+
 def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> DataFrame:
     """``(node, component)`` of all ids that have a link to a smaller one, from bucket rows ``(key, id)``.
 
     ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. ``likely(pairs)`` may
-    drop pairs ``(hi, lo)`` that a sketch rules out before any set is made. Stars, checks on full sets and further
-    rounds are as the module says.
+    drop pairs ``(hi, lo)`` of the stars that a sketch rules out before any set is made. Stars, checks on full sets, further
+    rounds and the exact end are as the module says: no two members of a bucket are left that have a link and other components.
     """
     shared = persist_table(
         bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "minhash-buckets"
     )
     buckets = persist_table(by_id(bands, shared, "key", "inner").select("key", "id", "size"), "minhash-members")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        if likely:
-            pairs = persist_table(likely(pairs), "minhash-likely")
-        ids = persist_table(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct(), "minhash-candidates")
-        sets = persist_table(sets_of(ids), "minhash-sets")
+    def on_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("lo"), F.col("set").alias("sb")), "lo").join(
             sets.select(F.col("id").alias("hi"), F.col("set").alias("sa")), "hi"
         )
         ok = with_arrow_columns(both, _check(percent), [T.StructField("ok", T.BooleanType())], ["sa", "sb"])
         return persist_table(ok.where("ok").select("hi", "lo").distinct(), "minhash-links")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        if likely:
+            pairs = persist_table(likely(pairs), "minhash-likely")
+        ids = persist_table(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct(), "minhash-candidates")
+        return on_sets(pairs, persist_table(sets_of(ids), "minhash-sets"))
+
+    def merged(placed: DataFrame, ends: DataFrame) -> DataFrame:
+        # links between components: their components are the new names
+        now = persist_table(placed.select("id", "component").distinct(), "minhash-labels")
+        for end in ("hi", "lo"):
+            ends = ends.join(now.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
+        return renamed(placed, ends)
+
+    def renamed(placed: DataFrame, ends: DataFrame) -> DataFrame:
+        names = connected_components(ends, "hi", "lo").select(F.col("node").alias("component"), F.col("component").alias("new"))
+        return persist_table(placed.join(names, "component", "left").select(*[F.coalesce("new", c).alias(c) if c == "component" else c for c in placed.columns]), "minhash-placed")
+
     # the first centre of a bucket is the member with most company in all its buckets: of edited copies, the original
     weight = persist_table(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "minhash-weights")
     first = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("mid"))
     first = buckets.join(persist_table(first, "minhash-centres"), "key").where("id <> mid")
     tested = persist_table(first.select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo")).distinct(), "minhash-pairs")
     found, turn = verified(tested), 1
-    placed = buckets.select("key", "id", F.col("id").alias("component"))
+    placed = buckets.select("key", "id", "size", F.col("id").alias("component"))
     while not found.isEmpty():
-        # links between components: their components are the new names
-        ends = found
-        if turn > 1:
-            now = persist_table(placed.select("id", "component").distinct(), "minhash-labels")
-            for end in ("hi", "lo"):
-                ends = ends.join(now.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
-        names = connected_components(ends, "hi", "lo").select(F.col("node").alias("component"), F.col("component").alias("new"))
-        placed = persist_table(placed.join(names, "component", "left").select("key", "id", F.coalesce("new", "component").alias("component")), "minhash-placed")
+        placed = merged(placed, found) if turn > 1 else renamed(placed, found)
         some = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn), F.lit(k))) for k in range(CENTRES)]))
         centre = persist_table(
             placed.groupBy("key")
@@ -184,6 +271,15 @@ def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> D
         if more.isEmpty():
             break
         found, tested, turn = verified(more), tested.union(more), turn + 1
+
+    # what the stars leave open: buckets of more than one component, but for those whose one pair the first star tested
+    still = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    ids = persist_table(by_id(placed, persist_table(still, "minhash-open"), "key", "left_semi").select("id", "component").distinct(), "minhash-open-ids")
+    if not ids.isEmpty():
+        sets = persist_table(sets_of(ids.select("id")).join(ids, "id"), "minhash-open-sets")
+        ends = on_sets(persist_table(exact_candidates(sets, percent), "minhash-exact-pairs"), sets)
+        if not ends.isEmpty():
+            placed = merged(placed.select("id", "component").distinct(), ends)
     return placed.where("id <> component").select(F.col("id").alias("node"), "component").distinct()
 
 
