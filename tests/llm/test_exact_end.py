@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corpusloom.llm import minhash
+from corpusloom.llm import linededup, minhash
 
 
 def components(ids, sets, linked):
@@ -38,6 +38,20 @@ def test_documents_of_a_hot_family(docs_of):
     assert len(set(want.values())) == 260 and got == want
 
 
+def test_lines_of_a_hot_family(docs_of):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # 100 shingles of 129 or so are common; the tails of planted pairs begin alike
+    base = word(107)
+    lines = {i: base + word(r.choice((14, 15, 16))) for i in range(1000)}
+    for k in range(60):
+        lines[900 - k] = lines[k][:111] + word(10)
+    sets = {i: linededup.brute_force_sets(t) for i, t in lines.items()}
+    roots = components(list(lines), sets, linked)
+    got = {x.doc_id for x in linededup.dedup_lines(docs_of(list(lines.items()))).collect() if x.n_removed}
+    assert 60 <= len(roots) - len(set(roots.values())) and got == {i for i, c in roots.items() if i != c}
+
+
 def test_candidates_are_exact_for_sets_of_all_sizes(spark):
     r = random.Random(6)
     rows, sets = [], {}
