@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,9 @@ SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
 #: Sketch bits in which a candidate pair may differ. At similarity 0.8 each of 56 differs with chance 0.1: more than 18
-#: in 1 of 10^6 pairs. Unlike lines differ in about 25.
-MOST_BITS = 18
+#: in 1 of 10^6 pairs. Unlike lines differ in about 25. Short lines fill few bins and copy them, so their bits differ
+#: together: a pair with a line of under ``SKETCH_LEAST`` shingles is never ruled out.
+MOST_BITS, SKETCH_LEAST = 18, 30
 _PICK = (stream(41, BINS * 512).reshape(BINS, 512) >> np.uint64(33)).astype(np.int64) % BINS
 _ROW, _SALT, _A = stream(42, ROWS), stream(43, BANDS), stream(44, 8)
 _KEY_BITS = 44
@@ -83,9 +84,10 @@ class Lines:
         return g, at
 
 
-def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A (lines, bands) grid of bucket keys, and a sketch of each line: one bit of each bin."""
+def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A (lines, bands) grid of bucket keys, a sketch of each line (one bit of each bin), and its number of distinct shingles."""
     n = len(at) - 1
+    size = np.zeros(n, np.int64)
     grid = np.zeros((n, BINS), np.uint64)
     with np.errstate(over="ignore"):
         for lo in range(0, n, 1 << 18):
@@ -95,6 +97,9 @@ def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             bin_ = ((part >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
             packed = line << np.uint64(46) | bin_ << np.uint64(40) | (part & np.uint64((1 << 40) - 1))
             packed.sort()
+            other = np.ones(len(packed), bool)
+            other[1:] = packed[1:] != packed[:-1]
+            size[lo:hi] = np.bincount((packed[other] >> np.uint64(46)).astype(np.int64), minlength=hi - lo)
             slot = packed >> np.uint64(40)
             new = np.ones(len(packed), bool)
             new[1:] = slot[1:] != slot[:-1]
@@ -114,10 +119,15 @@ def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             grid[r, c] = grid[r, filled[np.searchsorted(filled, c) % len(filled)]]
         sketch = ((mix(grid) & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)).sum(1, dtype=np.uint64)
         key = mix(mix(grid.reshape(n, BANDS, ROWS) * _ROW).sum(2, dtype=np.uint64) + _SALT)
-    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS), sketch
+    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS), sketch, size
 
 
-_LINES = "doc long, tk long, line int, f1 long, f2 long, keys array<long>, sketch long"
+def may_link(a: str, b: str) -> Column:
+    """Whether sketches (``_s``) and sizes (``_n``) of two lines leave a link possible."""
+    return (F.least(f"{a}_n", f"{b}_n") < SKETCH_LEAST) | (F.bit_count(F.col(f"{a}_s").bitwiseXOR(F.col(f"{b}_s"))) <= MOST_BITS)
+
+
+_LINES = "doc long, tk long, line int, f1 long, f2 long, keys array<long>, sketch long, size int"
 _LIMIT = 1 << 19
 
 
@@ -133,12 +143,12 @@ def _line_rows(batches):
             with np.errstate(over="ignore"):
                 f1 = np.add.reduceat(g, at[:-1])
                 f2 = np.add.reduceat(mix(g ^ salt), at[:-1])
-            keys, sketch = bucket_keys(g, at)
+            keys, sketch, size = bucket_keys(g, at)
             who = pa.array(lines.doc + block.lo)
             columns = [ids.take(who), tks.take(who), pa.array(lines.number.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
             columns.append(long_list(keys.reshape(-1), np.arange(len(keys) + 1) * BANDS))
-            columns.append(pa.array(sketch.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys", "sketch"])
+            columns += [pa.array(sketch.view(np.int64)), pa.array(size.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys", "sketch", "size"])
 
 
 def _set_rows(batches):
@@ -182,10 +192,10 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return sets_of(ids) if single else sets_of(ids).dropDuplicates(["id"])
 
     def likely(pairs: DataFrame) -> DataFrame:
-        own = lines.select("id", "sketch")
+        own = lines.select("id", "sketch", "size")
         for end in ("hi", "lo"):
-            pairs = pairs.join(own.withColumnsRenamed({"id": end, "sketch": f"{end}_s"}), end)
-        return pairs.where(F.bit_count(F.col("hi_s").bitwiseXOR(F.col("lo_s"))) <= MOST_BITS).select("hi", "lo")
+            pairs = pairs.join(own.withColumnsRenamed({"id": end, "sketch": f"{end}_s", "size": f"{end}_n"}), end)
+        return pairs.where(may_link("hi", "lo")).select("hi", "lo")
 
     single = unrepeated(keyed.select("doc", "tk"), ["doc", "tk"])
     labels = persist_table(linked_components(bands, all_sets, PERCENT, likely), "line-labels")

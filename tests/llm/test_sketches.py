@@ -1,0 +1,18 @@
+"""The sketch rule leaves short lines alone."""
+
+import numpy as np
+
+from corpusloom.llm import linededup
+
+
+def test_short_lines_are_never_ruled_out(spark):
+    r = np.random.default_rng(3)
+    sets = [r.integers(0, 2**64, 5, dtype=np.uint64) for _ in range(4000)]
+    both = [x for s in sets for x in (s[:4], s)]
+    _, sketch, size = linededup.bucket_keys(np.concatenate(both), np.concatenate(([0], np.cumsum([len(x) for x in both]))))
+    assert size.tolist() == [4, 5] * 4000
+    bits = [bin(int(a ^ b)).count("1") for a, b in zip(sketch[::2], sketch[1::2], strict=True)]
+    assert max(bits) > linededup.MOST_BITS
+    rows = [(int(a), int(b), 4, 5) for a, b in zip(sketch.view(np.int64)[::2], sketch.view(np.int64)[1::2], strict=True)]
+    df = spark.createDataFrame(rows, "hi_s long, lo_s long, hi_n int, lo_n int")
+    assert df.where(linededup.may_link("hi", "lo")).count() == 4000
