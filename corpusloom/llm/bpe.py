@@ -30,7 +30,10 @@ LONG_WORD = 64
 #: Token rows that one decoding query takes, beyond one text.
 DECODE_ROWS = 400_000
 
-# A position is word << 24 | place. Each step contracts one pair of each word, the leftmost of least rank.
+#: Bits of the place in a position.
+PLACE_BITS = 32
+
+# A position is word << 32 | place. Each step contracts one pair of each word, the leftmost of least rank.
 _ENCODE = """
 WITH RECURSIVE step(g, tok, live) AS (
   SELECT g, tok, true FROM bytes
@@ -38,14 +41,14 @@ WITH RECURSIVE step(g, tok, live) AS (
   (WITH pairs AS (
      SELECT s.g, s.tok, lead(s.g) OVER w AS ng, lead(s.tok) OVER w AS nt, lag(s.g) OVER w AS pg FROM step s WHERE s.live WINDOW w AS (ORDER BY s.g)
    ), best AS (
-     SELECT p.g >> 24 AS word, min(m.merged::BIGINT << 24 | (p.g & 16777215)) AS b
-     FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.nt WHERE p.g >> 24 = p.ng >> 24 GROUP BY p.g >> 24
+     SELECT p.g >> 32 AS word, min(m.merged::BIGINT << 32 | (p.g & 4294967295)) AS b
+     FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.nt WHERE p.g >> 32 = p.ng >> 32 GROUP BY p.g >> 32
    )
-   SELECT p.g, CASE WHEN (p.g & 16777215) = (b.b & 16777215) THEN (b.b >> 24)::INTEGER ELSE p.tok END, b.b IS NOT NULL
-   FROM pairs p LEFT JOIN best b ON b.word = p.g >> 24
-   WHERE b.b IS NULL OR p.pg IS NULL OR p.pg <> (p.g >> 24 << 24 | (b.b & 16777215)))
+   SELECT p.g, CASE WHEN (p.g & 4294967295) = (b.b & 4294967295) THEN (b.b >> 32)::INTEGER ELSE p.tok END, b.b IS NOT NULL
+   FROM pairs p LEFT JOIN best b ON b.word = p.g >> 32
+   WHERE b.b IS NULL OR p.pg IS NULL OR p.pg <> (p.g >> 32 << 32 | (b.b & 4294967295)))
 )
-SELECT (g >> 24)::INTEGER AS word, list(tok ORDER BY g) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
+SELECT (g >> 32)::INTEGER AS word, list(tok ORDER BY g) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
 """
 
 # The same for long words: all pairs of the least rank together where that is proven equal. Of pairs that overlap,
@@ -57,16 +60,16 @@ WITH RECURSIVE step(g, tok, live) AS (
   (WITH pairs AS (
      SELECT s.g, s.tok, lead(s.g) OVER w AS ng, lead(s.tok) OVER w AS nt FROM step s WHERE s.live WINDOW w AS (ORDER BY s.g)
    ), ranked AS (
-     SELECT p.g, m.merged FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.nt WHERE p.g >> 24 = p.ng >> 24
+     SELECT p.g, m.merged FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.nt WHERE p.g >> 32 = p.ng >> 32
    ), best AS (
-     SELECT g >> 24 AS word, min(merged::BIGINT << 24 | (g & 16777215)) AS b FROM ranked GROUP BY g >> 24
+     SELECT g >> 32 AS word, min(merged::BIGINT << 32 | (g & 4294967295)) AS b FROM ranked GROUP BY g >> 32
    ), risk AS (
-     SELECT DISTINCT b.word FROM best b JOIN risky k ON k.merged = b.b >> 24 LEFT JOIN pairs p ON p.g >> 24 = b.word AND p.tok = k.partner
+     SELECT DISTINCT b.word FROM best b JOIN risky k ON k.merged = b.b >> 32 LEFT JOIN pairs p ON p.g >> 32 = b.word AND p.tok = k.partner
      WHERE p.g IS NOT NULL OR k.partner = k.merged
    ), hits AS (
-     SELECT p.g, p.tok, (b.b >> 24)::INTEGER AS merged, r.g IS NOT NULL AND (k.word IS NULL OR (b.b & 16777215) = (p.g & 16777215)) AS hit
-     FROM pairs p LEFT JOIN best b ON b.word = p.g >> 24 LEFT JOIN ranked r ON r.g = p.g AND r.merged = b.b >> 24
-       LEFT JOIN risk k ON k.word = p.g >> 24
+     SELECT p.g, p.tok, (b.b >> 32)::INTEGER AS merged, r.g IS NOT NULL AND (k.word IS NULL OR (b.b & 4294967295) = (p.g & 4294967295)) AS hit
+     FROM pairs p LEFT JOIN best b ON b.word = p.g >> 32 LEFT JOIN ranked r ON r.g = p.g AND r.merged = b.b >> 32
+       LEFT JOIN risk k ON k.word = p.g >> 32
    ), runs AS (
      SELECT *, row_number() OVER w - max(CASE WHEN hit THEN 0 ELSE row_number END) OVER w AS nth
      FROM (SELECT *, row_number() OVER (ORDER BY g) AS row_number FROM hits) WINDOW w AS (ORDER BY g)
@@ -75,7 +78,7 @@ WITH RECURSIVE step(g, tok, live) AS (
    )
    SELECT g, CASE WHEN take THEN merged ELSE tok END, merged IS NOT NULL FROM chosen WHERE NOT coalesce(gone, false))
 )
-SELECT (g >> 24)::INTEGER AS word, list(tok ORDER BY g) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
+SELECT (g >> 32)::INTEGER AS word, list(tok ORDER BY g) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
 """
 
 _DECODE = """
@@ -135,9 +138,11 @@ class Codec:
             if not rest:
                 continue
             size = np.array([len(words[k]) for k in rest])
+            if int(size.max()) >> PLACE_BITS:
+                raise ValueError(f"a word of {size.max()} bytes is beyond {PLACE_BITS} bits")
             raw = np.frombuffer(b"".join(words[k] for k in rest), np.uint8)
             pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("bytes", pa.table({"g": pa.array(np.repeat(np.arange(len(rest), dtype=np.int64), size) << 24 | pos), "tok": pa.array(self.byte_id[raw])}))
+            self.db.register("bytes", pa.table({"g": pa.array(np.repeat(np.arange(len(rest), dtype=np.int64), size) << PLACE_BITS | pos), "tok": pa.array(self.byte_id[raw])}))
             for k, ids in self.db.execute(query).fetchall():
                 out[rest[k]] = ids
             self.db.unregister("bytes")
