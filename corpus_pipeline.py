@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that keep one line of each group of near-equal lines."""
-    out = linededup.keep_first_lines(docs)
+    """Texts that keep one line of each group of near-equal lines; documents that lose all their lines go."""
+    out = linededup.keep_first_lines(docs, drop_emptied=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

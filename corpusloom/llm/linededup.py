@@ -255,10 +255,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return with_arrow_columns(joined, _cut(text_col), fields, ["__loom_lines"])
 
 
-def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns it has, and texts that keep one line of each component."""
+def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the columns it has, and texts that keep one line of each component.
+
+    ``drop_emptied`` drops documents that lost lines and have none left but blank ones; those without lines before stay.
+    """
     p = "__loom_l_"
     out = dedup_lines(docs, id_col, text_col, p)
+    if drop_emptied:
+        out = out.where((F.col(p + "n_removed") == 0) | F.col(p + "kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col(p + "kept_text").alias(c) if c == text_col else c for c in docs.columns])
 
 
