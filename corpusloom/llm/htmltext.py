@@ -2,10 +2,10 @@
 
 Tokens of a page are its tags, each with the path of containers it stands in, and its whole text runs. A token's
 occurrence vector over the pages of a host says how often it stands on each; tokens with equal vectors form an
-equivalence class. A class of enough tokens on enough pages whose texts differ is part of the host's template, if
-its tokens come in one order on every page; valid classes nest by containers. What stands between template
-tokens are slots. The article is what the slots outside boilerplate containers hold: text runs that are
-themselves template tokens are furniture, unless they stand in an article container.
+equivalence class. A class of enough tokens on enough pages whose mean places differ is part of the host's template.
+Classes are not ordered or nested, and no slots are formed: in pages with an article container, known by tag and
+class names, its text outside furniture is the article and the template decides nothing. In other pages text runs
+that are template tokens are furniture.
 
 Vectors are never collected: a vector's hash is a sum over pages, so hosts of any size are pre-aggregated. Only
 template tokens (on at least ``MIN_PAGES`` pages and a third of the host's) return to the pages.
