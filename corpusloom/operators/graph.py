@@ -39,7 +39,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = first.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("component", F.col("node"))
     for hook in hooks:
         nodes = _renamed(nodes, hook, "component")
-    return persist_table(nodes, "cc-labels")
+    out = persist_table(nodes, "cc-labels")
+    drop_table(*hooks, first, *([live] if live is not first else []))
+    return out
 
 
 def _renamed(df: DataFrame, hook: DataFrame, column: str) -> DataFrame:
