@@ -3,7 +3,9 @@
 The writer makes MPEG-1 Layer III frames (48 kHz, mono, with checksum) whose main data is the payload, behind an
 ID3v2 tag and a frame with a variable-bitrate table. The parser takes arbitrary bytes: it skips tags, finds frame
 headers again after damage, checks checksums, reads the table, and gives exact durations and seek offsets.
-Both work row by row in Arrow batches: no shuffle, memory bounded by one batch.
+Both work row by row in Arrow batches: no shuffle, memory bounded by one batch. A null or empty text is a payload of
+spaces; rows that repeat give equal streams; an empty table gives an empty result; a new name that the table has, in
+whatever case, is an error.
 """
 
 from __future__ import annotations
@@ -190,21 +192,25 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
 def read_stream(media: bytes) -> Stream:
     """Parse any bytes. A header counts if the next one follows it, if the media or a tag ends there."""
     out, at, end = Stream(), 0, len(media)
-    if media[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["ID3v1"] = media[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    # an ID3v1 tag counts only where no frame lies over it: a payload may hold its name
+    last = end - 128 if media[-128:-125] == b"TAG" else end
     synced = False
     while at < end:
+        if at == last:
+            out.tags["ID3v1"] = media[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         if media[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(media, at, out)
             continue
         h = parse_header(media[at : at + 4])
         nxt = at + h.size if h else 0
-        good = h is not None and nxt <= end and (synced or nxt == end or media[nxt : nxt + 3] == b"ID3" or parse_header(media[nxt : nxt + 4]) is not None)
+        follows = h is not None and (nxt in (last, end) or media[nxt : nxt + 3] == b"ID3" or parse_header(media[nxt : nxt + 4]) is not None)
+        good = h is not None and nxt <= end and (follows or (synced and nxt < last))
         if not good:
             synced = False
             sync = media.find(b"\xff", at + 1, end)
             sync = end if sync < 0 else sync
+            sync = last if at < last < sync else sync
             tag = media.find(b"ID3", at + 1, sync)
             step = sync if tag < 0 else tag
             out.skipped += step - at
