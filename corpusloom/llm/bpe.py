@@ -8,23 +8,31 @@ rank would follow one by one from the left, so they are contracted in the same s
 letter takes a few steps. Decoding joins ids with the vocabulary and puts the bytes together by an aggregation
 ordered by position.
 
+Null and empty texts have no ids; rows that repeat stay as they are, each with its own result; an empty table gives an
+empty result; a new name that the table has, in whatever case, is an error.
+
 The rows of finished words leave the recursion. The merge table follows from the ranks: every way to cut a token into two tokens. Both are bounded by the vocabulary file.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import threading
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
+from corpusloom.llm.arrowmap import give_back, prefixed, with_arrow_columns
 
-#: Distinct words whose ids a worker remembers before it starts anew, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 1_500_000, 64
+#: Words whose ids a worker remembers in each of two generations, and the longest that it remembers: about 130 MB.
+CACHE_WORDS, CACHE_CHARS = 280_000, 64
+#: Seconds after a task's end in which the worker's next task finds its codec.
+IDLE_SECONDS = 3.0
 #: Bytes beyond which a word takes the query for long words.
 LONG_WORD = 64
 #: Token rows that one decoding query takes, beyond one text.
@@ -121,7 +129,9 @@ class Codec:
         self._load("risky", {"merged": pa.array([x for x, _ in risky], pa.int32()), "partner": pa.array([x for _, x in risky], pa.int32())})
         # bytes as the code points 0 to 255: pieces needn't be valid UTF-8
         self._load("vocab", {"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
+        # words met lately, and those met before them: a word that is met again moves up
         self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -151,13 +161,23 @@ class Codec:
     def encode(self, texts: list[str]) -> list[str]:
         """Decimal ids joined by commas, for each text."""
         cut = [self.pattern.findall(t) for t in texts]
-        fresh = sorted(w for w in set().union(*cut) if w not in self.known) if cut else []
-        ids = self.encode_words([w.encode("utf-8") for w in fresh])
-        self.known.update((w, ",".join(map(str, i))) for w, i in zip(fresh, ids, strict=True))
-        known = self.known
-        out = [",".join([known[w] for w in words]) for words in cut]
-        if len(known) > CACHE_WORDS or any(len(w) > CACHE_CHARS for w in fresh):
-            self.known = {w: i for w, i in known.items() if len(w) <= CACHE_CHARS} if len(known) <= CACHE_WORDS else {}
+        known, before, fresh = self.known, self.before, []
+        for w in set().union(*cut):
+            if w not in known:
+                if (ids := before.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = ids
+        fresh.sort()
+        long_: dict[str, str] = {}
+        for w, ids in zip(fresh, self.encode_words([w.encode("utf-8") for w in fresh]), strict=True):
+            (known if len(w) <= CACHE_CHARS else long_)[w] = ",".join(map(str, ids))
+        if long_:
+            out = [",".join([known[w] if w in known else long_[w] for w in words]) for words in cut]
+        else:
+            out = [",".join([known[w] for w in words]) for words in cut]
+        if len(known) > CACHE_WORDS:
+            self.known, self.before = {}, known
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -185,22 +205,54 @@ def _parse(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
-#: The worker's codec, by its vocabulary's digest and pattern: building one costs more than a task.
-_CODECS: dict[tuple[str, str], Codec] = {}
+class _Worker:
+    """The worker's codec: building one costs more than a task, so the next task finds it, but an idle worker lets it go."""
+
+    codec: Codec | None = None
+    key: tuple[str, str] | None = None
+    turn = 0
+    lock = threading.Lock()
+
+    @classmethod
+    def take(cls, ranks: dict[bytes, int], digest: str, pattern: str) -> Codec:
+        with cls.lock:
+            cls.turn += 1
+            if cls.key != (digest, pattern):
+                cls.codec, cls.key = Codec(ranks, pattern), (digest, pattern)
+            return cls.codec
+
+    @classmethod
+    def done(cls) -> None:
+        """A task has ended: unless another begins soon, drop the codec."""
+        timer = threading.Timer(IDLE_SECONDS, cls.drop, (cls.turn,))
+        timer.daemon = True
+        timer.start()
+
+    @classmethod
+    def drop(cls, turn: int) -> None:
+        with cls.lock:
+            if turn != cls.turn:
+                return
+            cls.codec = cls.key = None
+        gc.collect()
+        give_back()
+
+
+def _with_codec(df: DataFrame, ranks: dict[bytes, int], pattern: str, work: Callable) -> Callable:
+    """A maker for ``with_arrow_columns`` of ``work(codec, batch)``; the vocabulary is broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
 
+    def make():
+        codec = _Worker.take(shared.value, digest, pattern)
 
-def _codec(ranks: dict[bytes, int], digest: str, pattern: str) -> Codec:
-    if (digest, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[digest, pattern] = Codec(ranks, pattern)
-    return _CODECS[digest, pattern]
+        def run(batch):
+            return work(codec, batch)
 
+        run.close = _Worker.done
+        return run
 
-def _share(df: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """A function that gives a worker its codec; the vocabulary is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    return lambda: _codec(shared.value, digest, pattern)
+    return make
 
 
 def _texts(batch, name, chars: int = 1 << 19):
@@ -219,39 +271,27 @@ def _texts(batch, name, chars: int = 1 << 19):
 
 def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """``df`` plus a list<int> of token ids. Null and empty texts have an empty list."""
-    get = _share(df, ranks, pattern)
-
-    def make():
-        codec = get()
 
-        def work(batch):
-            flat, size = [], [0]
-            for part in _texts(batch, text_col):
-                for ids in codec.encode(part):
-                    flat.append(_parse(ids))
-                    size.append(size[-1] + len(flat[-1]))
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-            return [pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)]
+    def work(codec, batch):
+        flat, size = [], [0]
+        for part in _texts(batch, text_col):
+            for ids in codec.encode(part):
+                flat.append(_parse(ids))
+                size.append(size[-1] + len(flat[-1]))
+        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        return [pa.ListArray.from_arrays(pa.array(size, pa.int32()), values)]
 
-        return work
-
-    return with_arrow_columns(df, make, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], [] if keep_text else [text_col])
+    return with_arrow_columns(df, _with_codec(df, ranks, pattern, work), [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], [] if keep_text else [text_col])
 
 
 def decode_ids(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """``df`` plus the bytes of a token id list (null: empty). Ids outside the vocabulary give nothing."""
-    get = _share(df, ranks, pattern)
-
-    def make():
-        codec = get()
-
-        def work(batch):
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            return [pa.array(codec.decode([np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in lists]), pa.binary())]
 
-        return work
+    def work(codec, batch):
+        lists = batch.column(batch.schema.get_field_index(ids_col))
+        return [pa.array(codec.decode([np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in lists]), pa.binary())]
 
-    return with_arrow_columns(df, make, [T.StructField(bytes_col, T.BinaryType())], [] if keep_ids else [ids_col])
+    return with_arrow_columns(df, _with_codec(df, ranks, pattern, work), [T.StructField(bytes_col, T.BinaryType())], [] if keep_ids else [ids_col])
 
 
 DIGEST = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -259,24 +299,18 @@ DIGEST = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_
 
 def bpe_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", prefix: str = "", keep_text: bool = True) -> DataFrame:
     """``df`` plus the number of tokens, and digests of the ids and of the bytes that the ids decode to."""
-    get = _share(df, ranks, pattern)
-
-    def make():
-        codec = get()
-
-        def work(batch):
-            n, one, two = [], [], []
-            for part in _texts(batch, text_col):
-                encoded = codec.encode(part)
-                ids = [_parse(e) for e in encoded]
-                n += [len(i) for i in ids]
-                one += [hashlib.sha256(e.encode()).hexdigest() for e in encoded]
-                two += [hashlib.sha256(d).hexdigest() for d in codec.decode(ids)]
-            return [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
-
-        return work
 
-    return with_arrow_columns(df, make, prefixed(DIGEST, prefix), [] if keep_text else [text_col])
+    def work(codec, batch):
+        n, one, two = [], [], []
+        for part in _texts(batch, text_col):
+            encoded = codec.encode(part)
+            ids = [_parse(e) for e in encoded]
+            n += [len(i) for i in ids]
+            one += [hashlib.sha256(e.encode()).hexdigest() for e in encoded]
+            two += [hashlib.sha256(d).hexdigest() for d in codec.decode(ids)]
+        return [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+
+    return with_arrow_columns(df, _with_codec(df, ranks, pattern, work), prefixed(DIGEST, prefix), [] if keep_text else [text_col])
 
 
 def op2_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
