@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -59,10 +58,14 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Where Spark knows it: shuffle files go with the query that made them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs the readers nothing but a reread of the file.
+    A lost executor then costs the readers nothing but a reread of the file. The shuffle files of the step go as it ends.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
@@ -70,7 +73,14 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
         _TOPS.add(top)
         atexit.register(_remove_shared, spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -95,12 +105,6 @@ def drop_table(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _SHIPPED: set[str] = set()
 
 
