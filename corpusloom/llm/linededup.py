@@ -4,7 +4,7 @@ A line is what stands between newlines, compared without outer white space and w
 distinct runs of 8 characters (the whole line if shorter); lines link at similarity 0.8 or more. Blank lines
 are no lines: they always stay.
 
-Signatures come from one sort per block of text: keys of (line, bin, hash) put each bin's minimum first. Equal
+Signatures are grouped minima over all shingles of a block of texts. Equal
 lines become one class before any bucket is made, so a line repeated in a third of all documents is one row
 from there on. 14 bands of 4 rows find a pair at similarity 0.8 in 9994 of 10000 cases; what they find is
 checked on full sets, and components join what a third line links.
@@ -16,26 +16,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.arrowmap import with_arrow_columns
-from corpusloom.llm.idjoin import by_id, unrepeated
+from corpusloom.llm.idjoin import by_id, unrepeated, whole_ids
 from corpusloom.llm.minhash import linked_components
 from corpusloom.llm.textblocks import LOWER, Block, blocks, long_list, mix, stream
-from corpusloom.session import persist_table, ship_package
+from corpusloom.session import drop_table, persist_table, ship_package
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
-#: Sketch bits in which a candidate pair may differ. At similarity 0.8 each of 56 differs with chance 0.1: more than 18
-#: in 1 of 10^6 pairs. Unlike lines differ in about 25. Short lines fill few bins and copy them, so their bits differ
-#: together: a pair with a line of under ``SKETCH_LEAST`` shingles is never ruled out.
-MOST_BITS, SKETCH_LEAST = 18, 30
 _PICK = (stream(41, BINS * 512).reshape(BINS, 512) >> np.uint64(33)).astype(np.int64) % BINS
 _ROW, _SALT, _A = stream(42, ROWS), stream(43, BANDS), stream(44, 8)
 _KEY_BITS = 44
+_NONE = np.uint64(2**64 - 1)
 
 
 class Lines:
@@ -84,28 +81,18 @@ class Lines:
         return g, at
 
 
-def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A (lines, bands) grid of bucket keys, a sketch of each line (one bit of each bin), and its number of distinct shingles."""
+def bucket_keys(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A (lines, bands) grid of bucket keys."""
     n = len(at) - 1
-    size = np.zeros(n, np.int64)
-    grid = np.zeros((n, BINS), np.uint64)
+    grid = np.full((n, BINS), _NONE)
     with np.errstate(over="ignore"):
+        flat = grid.reshape(-1)
         for lo in range(0, n, 1 << 18):
             hi = min(n, lo + (1 << 18))
             part = g[at[lo] : at[hi]]
-            line = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(at[lo : hi + 1]))
-            bin_ = ((part >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-            packed = line << np.uint64(46) | bin_ << np.uint64(40) | (part & np.uint64((1 << 40) - 1))
-            packed.sort()
-            other = np.ones(len(packed), bool)
-            other[1:] = packed[1:] != packed[:-1]
-            size[lo:hi] = np.bincount((packed[other] >> np.uint64(46)).astype(np.int64), minlength=hi - lo)
-            slot = packed >> np.uint64(40)
-            new = np.ones(len(packed), bool)
-            new[1:] = slot[1:] != slot[:-1]
-            top = packed[new]
-            grid[lo + (top >> np.uint64(46)).astype(np.int64), (top >> np.uint64(40) & np.uint64(63)).astype(np.int64)] = top & np.uint64((1 << 40) - 1) | np.uint64(1 << 40)
-        full = grid != 0
+            cell = np.repeat(np.arange(lo, hi) * BINS, np.diff(at[lo : hi + 1])) + (((part >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(flat, cell, part)
+        full = grid != _NONE
         row, col = np.nonzero(~full)
         for k in range(_PICK.shape[1]):
             if not len(row):
@@ -117,17 +104,10 @@ def bucket_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         for r, c in zip(row.tolist(), col.tolist(), strict=True):  # all looks missed: the next full bin round the circle
             filled = np.flatnonzero(full[r])
             grid[r, c] = grid[r, filled[np.searchsorted(filled, c) % len(filled)]]
-        sketch = ((mix(grid) & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)).sum(1, dtype=np.uint64)
         key = mix(mix(grid.reshape(n, BANDS, ROWS) * _ROW).sum(2, dtype=np.uint64) + _SALT)
-    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS), sketch, size
+    return key >> np.uint64(64 - _KEY_BITS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(_KEY_BITS)
 
 
-def may_link(a: str, b: str) -> Column:
-    """Whether sketches (``_s``) and sizes (``_n``) of two lines leave a link possible."""
-    return (F.least(f"{a}_n", f"{b}_n") < SKETCH_LEAST) | (F.bit_count(F.col(f"{a}_s").bitwiseXOR(F.col(f"{b}_s"))) <= MOST_BITS)
-
-
-_LINES = "doc long, tk long, line int, f1 long, f2 long, keys array<long>, sketch long, size int"
 _LIMIT = 1 << 19
 
 
@@ -143,28 +123,32 @@ def _line_rows(batches):
             with np.errstate(over="ignore"):
                 f1 = np.add.reduceat(g, at[:-1])
                 f2 = np.add.reduceat(mix(g ^ salt), at[:-1])
-            keys, sketch, size = bucket_keys(g, at)
+            keys = bucket_keys(g, at)
             who = pa.array(lines.doc + block.lo)
             columns = [ids.take(who), tks.take(who), pa.array(lines.number.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
             columns.append(long_list(keys.reshape(-1), np.arange(len(keys) + 1) * BANDS))
-            columns += [pa.array(sketch.view(np.int64)), pa.array(size.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tk", "line", "f1", "f2", "keys"])
 
 
-def _set_rows(batches):
+def _item_rows(batches):
+    """(id, item): the lines wanted of each text, without outer white space."""
     for batch in batches:
-        wanted = batch.column(1).to_pylist()
-        for block in blocks(batch.column(0), _LIMIT):
-            lines = Lines(block)
-            g, at = lines.shingles()
-            place = {(d, m): k for k, (d, m) in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True))}
-            rid, sets = [], []
-            for d in range(block.hi - block.lo):
-                for want in wanted[block.lo + d]:
-                    k = place[d, want["line"]]
-                    rid.append(want["id"])
-                    sets.append(np.unique(g[at[k] : at[k + 1]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+        ids, items = [], []
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            lines = text.as_py().split("\n")
+            for want in wanted.as_py():
+                ids.append(want["id"])
+                items.append(lines[want["line"]].strip(" \t\x0b\x0c\r"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.string())], names=["id", "item"])
+
+
+def sets_of_lines(column: pa.Array) -> list[np.ndarray]:
+    """Sorted shingle sets of a column of lines."""
+    out = []
+    for block in blocks(column, _LIMIT):
+        g, at = Lines(block).shingles()
+        out += [np.unique(g[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
 
 
 def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,30 +159,22 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship_package(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    lines = persist_table(keyed.mapInArrow(_line_rows, _LINES).withColumn("id", F.monotonically_increasing_id()), "lines")
+    own = [T.StructField("doc", keyed.schema["doc"].dataType), T.StructField("tk", T.LongType()), T.StructField("line", T.IntegerType())]
+    schema = T.StructType([*own, T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    lines = persist_table(keyed.mapInArrow(_line_rows, schema).withColumn("id", F.monotonically_increasing_id()), "lines")
     classes = persist_table(lines.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("hi")).where("rep < hi").drop("hi"), "line-classes")
     copies = persist_table(lines.select("f1", "f2", "id").join(classes, ["f1", "f2"]).where("id <> rep").select("id", "rep"), "line-copies")
     bands = by_id(lines.select("id", "keys"), copies.select("id"), "id", "left_anti").select(F.explode("keys").alias("key"), "id")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def items_of(ids: DataFrame) -> DataFrame:
         of_doc = by_id(lines.select("doc", "tk", "line", "id"), ids, "id", "left_semi")
         wanted = persist_table(of_doc.groupBy("doc", "tk").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "line-wanted")
-        return by_id(keyed, wanted, ["doc", "tk"], "inner").select("text", "wanted").mapInArrow(
-            _set_rows, "id long, set binary"
-        )
-
-    def all_sets(ids: DataFrame) -> DataFrame:
-        # rows that repeat an id and a text give equal sets
-        return sets_of(ids) if single else sets_of(ids).dropDuplicates(["id"])
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        own = lines.select("id", "sketch", "size")
-        for end in ("hi", "lo"):
-            pairs = pairs.join(own.withColumnsRenamed({"id": end, "sketch": f"{end}_s", "size": f"{end}_n"}), end)
-        return pairs.where(may_link("hi", "lo")).select("hi", "lo")
+        out = by_id(keyed, wanted, ["doc", "tk"], "inner", True).select("text", "wanted").mapInArrow(_item_rows, "id long, item string")
+        # rows that repeat an id and a text give equal items
+        return out if single else out.dropDuplicates(["id"])
 
     single = unrepeated(keyed.select("doc", "tk"), ["doc", "tk"])
-    labels = persist_table(linked_components(bands, all_sets, PERCENT, likely), "line-labels")
+    labels = persist_table(linked_components(bands, items_of, PERCENT, sets_of_lines), "line-labels")
     label = labels.select(F.col("node").alias("rep"), "component")
     # every line that shares its component: copies, their classes' first lines, and linked lines
     rooted = (
@@ -209,15 +185,18 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
     )
     placed = persist_table(by_id(lines.select("doc", "tk", "line", "id"), persist_table(rooted, "line-roots"), "id", "inner").drop("id"), "line-placed")
-    place = F.struct("doc", "line", "tk")
+    # a null id comes last
+    place = F.struct(F.col("doc").isNull(), "doc", "line", "tk")
     kept = persist_table(placed.groupBy("root").agg(F.min(place).alias("keep")), "line-kept")
     gone = placed.join(kept, "root").where(place != F.col("keep")).select("doc", "tk", "line").distinct()
-    return persist_table(gone.groupBy("doc", "tk").agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removals")
+    out = persist_table(gone.groupBy("doc", "tk").agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removals")
+    drop_table(lines, classes, copies, labels, placed, kept)
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")
+        whole_ids(docs, id_col).alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")
     ).where("text is not null")
 
 
@@ -248,9 +227,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its row, with an empty text.
     """
     removals = removable_lines(docs, id_col, text_col).withColumnRenamed("lines", "__loom_lines")
-    keyed = docs.withColumns({"__loom_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__loom_tk": F.xxhash64(text_col)})
+    keyed = docs.withColumns({"__loom_doc": whole_ids(docs, id_col), "__loom_tk": F.xxhash64(text_col)})
     removals = removals.withColumnsRenamed({"doc": "__loom_doc", "tk": "__loom_tk"})
-    joined = by_id(keyed, removals, ["__loom_doc", "__loom_tk"], "left").select(*docs.columns, "__loom_lines")
+    joined = by_id(keyed, removals, ["__loom_doc", "__loom_tk"], "left", True).select(*docs.columns, "__loom_lines")
     fields = [T.StructField(prefix + "kept_text", T.StringType()), T.StructField(prefix + "n_lines", T.LongType()), T.StructField(prefix + "n_removed", T.LongType())]
     return with_arrow_columns(joined, _cut(text_col), fields, ["__loom_lines"])
 

@@ -5,9 +5,10 @@
    hash picks (optimal densification). Bands of the signature are the bucket keys.
 2. Documents with equal sets are one class; only its smallest document goes on. Copies in any number cost one row.
 3. In a bucket, every member is paired with one centre: a star, so pairs grow as the rows, not as their square.
-   Each pair is checked on full sets. Later rounds take a few other centres in the buckets that still hold more
-   than one component, against the members outside the centre's component, until a round adds no link.
-4. Members of buckets that then still hold more than one component are joined exactly: two sets at the threshold
+   Each pair is checked on full sets. Buckets that then hold more than one component take a few further centres, each
+   for the members outside its component, once; in a bucket of up to eight, every member is a centre in turn, which
+   settles it.
+4. Members of larger buckets that then still hold more than one component are joined exactly: two sets at the threshold
    share a shingle of their rarest few, at places that leave room for the rest. No pair of them is left out.
 5. Components come from distributed label propagation.
 
@@ -26,13 +27,13 @@ from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id, unrepeated
 from corpusloom.llm.textblocks import NOT_SPACE, blocks, gram_hash, long_list, mix, stream, words
 from corpusloom.operators.graph import connected_components
-from corpusloom.session import persist_table, ship_package
+from corpusloom.session import drop_table, persist_table, ship_package
 
 BANDS, ROWS = 32, 5
-#: Centres that a bucket takes in each round after the first.
-CENTRES = 4
+#: Centres that a bucket takes in the second round; in one of at most ``SMALL`` members every member is one in turn.
+CENTRES, SMALL = 6, 8
 #: Bits of the table that counts shingles; shingles that share a place in it share a count.
-COUNT_BITS = 20
+COUNT_BITS = 22
 
 
 class Signer:
@@ -105,23 +106,34 @@ def _signatures(text_col: str, shingle: int):
     return make
 
 
-def _sets(text_col: str, shingle: int):
-    def make():
-        def work(batch):
-            found = [s.tobytes() for block in blocks(batch.column(batch.schema.get_field_index(text_col))) for s in shingle_sets(block, shingle)]
-            return [pa.array(found, pa.binary())]
+def sets_of_texts(shingle: int):
+    """A function from a column of texts to their shingle sets."""
+    return lambda column: [x for block in blocks(column.cast(pa.string())) for x in shingle_sets(block, shingle)]
 
-        return work
 
-    return make
+def stored_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sets from sorted 64-bit hashes as bytes."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+#: Rows whose sets are in memory together.
+_TOGETHER = 256
+
+
+def _in_parts(batch, columns: list[str], sets):
+    """Sets of the columns named, a bounded number of rows at a time; equal items, such as a star's centre, are made once."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+    for lo in range(0, batch.num_rows, _TOGETHER):
+        parts = [c.slice(lo, _TOGETHER).dictionary_encode() for c in columns]
+        made = [sets(p.dictionary) for p in parts]
+        yield from zip(*([m[k] for k in p.indices.to_pylist()] for m, p in zip(made, parts, strict=True)), strict=True)
 
 
-def _check(percent: int):
+def _check(percent: int, sets):
     def make():
         def work(batch):
             ok = []
-            for a, b in zip(batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb")), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for x, y in _in_parts(batch, ["sa", "sb"], sets):
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     ok.append(False)
                     continue
@@ -136,20 +148,29 @@ def _check(percent: int):
     return make
 
 
-def _count_rows(batches):
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            np.add.at(total, _place(np.frombuffer(x.as_buffer(), np.uint64)), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
+def shingle_counts(items: DataFrame, sets) -> np.ndarray:
+    """How many items hold a shingle of each place, up to 65535: a table of fixed size."""
+
+    def count_rows(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for (x,) in _in_parts(batch, ["item"], sets):
+                np.add.at(total, _place(x), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
+
+    rows = items.select("item").mapInArrow(count_rows, "place int, n long").groupBy("place").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
+    count = np.zeros(1 << COUNT_BITS, np.uint16)
+    found = rows.toArrow()
+    count[found["place"].to_numpy()] = found["n"].to_numpy()
+    return count
 
 
 def _place(sets: np.ndarray) -> np.ndarray:
     return (mix(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _prefix_rows(counts, percent: int):
+def _prefix_rows(counts, percent: int, sets_of_items):
     """(g, component, id, n, at, short): the rarest shingles of each set, those that a partner at the threshold must share one of.
 
     ``short`` marks the fewer that do for a partner of at least the same size.
@@ -159,16 +180,17 @@ def _prefix_rows(counts, percent: int):
         count = counts.value
         for batch in batches:
             g, at, short, size, rows = [], [], [], [], []
-            for k, x in enumerate(batch.column(2)):
-                sets = np.frombuffer(x.as_buffer(), np.uint64)
+            for k, (sets,) in enumerate(_in_parts(batch, ["item"], sets_of_items)):
                 n = len(sets)
                 long_ = n + percent * n // -100 + 1
-                rare = sets[np.lexsort((sets, count[_place(sets)]))[:long_]]
-                g.append(rare)
-                at.append(np.arange(long_))
-                short.append(np.arange(long_) < n + 2 * percent * n // -(100 + percent) + 1)
-                size.append(np.full(long_, n))
-                rows.append(np.full(long_, k))
+                held = count[_place(sets)]
+                order = np.lexsort((sets, held))[:long_]
+                place = np.flatnonzero(held[order] > 1)  # a shingle that no other set holds finds no partner
+                g.append(sets[order[place]])
+                at.append(place)
+                short.append(place < n + 2 * percent * n // -(100 + percent) + 1)
+                size.append(np.full(len(place), n))
+                rows.append(np.full(len(place), k))
             if not g:
                 continue
             rows = pa.array(np.concatenate(rows))
@@ -183,104 +205,115 @@ def _prefix_rows(counts, percent: int):
     return run
 
 
-def exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(hi, lo)`` of other components, from stored ``(id, component, set)`` rows: all at the threshold are among them.
+def exact_candidates(items: DataFrame, percent: int, sets=stored_sets) -> DataFrame:
+    """Stored pairs ``(hi, lo)`` of other components, from stored ``(id, component, item)`` rows: all at the threshold are among them.
 
-    Shingles are ordered by how many sets hold them, the rarest first. Of two sets at the threshold, the smaller has the
-    first shingle they share in its short prefix, the larger in its long one, and behind it both have enough shingles left
-    for the overlap. Members of one component never meet: components that share a shingle are paired first.
+    ``sets`` makes sorted sets of a column of items. Shingles are ordered by how many sets hold them, the rarest first. Of
+    two sets at the threshold, the smaller has the first shingle they share in its short prefix, the larger in its long one,
+    and behind it both have enough shingles left for the overlap. Members of one component never meet: components that share
+    a shingle are paired first.
     """
-    spark = sets.sparkSession
+    spark = items.sparkSession
     ship_package(spark)
-    found = sets.select("set").mapInArrow(_count_rows, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(1 << COUNT_BITS, np.int64)
-    count[found["place"].to_numpy()] = found["n"].to_numpy()
-    rows = sets.select("id", "component", "set").mapInArrow(
-        _prefix_rows(spark.sparkContext.broadcast(count), percent),
-        T.StructType([T.StructField("g", T.LongType()), T.StructField("component", sets.schema["component"].dataType), T.StructField("id", sets.schema["id"].dataType), *prefixed([("n", T.LongType()), ("at", T.LongType()), ("short", T.BooleanType())], "")]),
+    count = shingle_counts(items, sets)
+    rows = items.select("id", "component", "item").mapInArrow(
+        _prefix_rows(spark.sparkContext.broadcast(count), percent, sets),
+        T.StructType([T.StructField("g", T.LongType()), T.StructField("component", items.schema["component"].dataType), T.StructField("id", items.schema["id"].dataType), *prefixed([("n", T.LongType()), ("at", T.LongType()), ("short", T.BooleanType())], "")]),
     )
-    rows = persist_table(rows, "minhash-prefixes")
-    shared = rows.groupBy("g").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("short").alias("probed")).where("c0 < c1 and probed").select("g")
-    rows = persist_table(rows.join(shared, "g", "left_semi"), "minhash-shared")
+    prefixes = persist_table(rows, "minhash-prefixes")
+    shared = prefixes.groupBy("g").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("short").alias("probed")).where("c0 < c1 and probed").select("g")
+    rows = persist_table(prefixes.join(shared, "g", "left_semi"), "minhash-shared")
     small, large = rows.where("short").drop("short"), rows.drop("short").withColumnsRenamed({"component": "c2", "id": "id2", "n": "n2", "at": "at2"})
     # what holds for every pair of members rules out pairs of components
     of = lambda side, c, n, at, to: side.groupBy("g", c).agg(F.min(n).alias(f"n{to}"), F.max(F.col(n) - F.col(at)).alias(f"left{to}"))
     both = of(small, "component", "n", "at", "_a").join(of(large, "c2", "n2", "at2", "_b"), "g")
-    both = both.where((F.col("component") != F.col("c2")) & (F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)).select("g", "component", "c2")
-    pairs = both.join(small, ["g", "component"]).join(large, ["g", "c2"])
-    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    pairs = pairs.where(room & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))))
-    return pairs.select(F.greatest("id", "id2").alias("hi"), F.least("id", "id2").alias("lo")).distinct()
+    fits = lambda left, left2, n, n2: F.least(left, left2) * (100 + percent) >= (F.col(n) + F.col(n2)) * percent
+    both = both.where((F.col("component") != F.col("c2")) & fits("left_a", "left_b", "n_a", "n_b")).select("g", "component", "c2", "left_b", "n_b")
+    left, left2 = F.col("n") - F.col("at"), F.col("n2") - F.col("at2")
+    pairs = both.join(small, ["g", "component"]).where(fits(left, F.col("left_b"), "n", "n_b")).join(large, ["g", "c2"]).where(fits(left, left2, "n", "n2"))
+    pairs = pairs.where((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2"))))
+    out = persist_table(pairs.select(F.greatest("id", "id2").alias("hi"), F.least("id", "id2").alias("lo")).distinct(), "minhash-exact-pairs")
+    drop_table(prefixes, rows)
+    return out
 
 
-def linked_components(bands: DataFrame, sets_of, percent: int, likely=None) -> DataFrame:
+def linked_components(bands: DataFrame, items_of, percent: int, sets=stored_sets) -> DataFrame:
     """``(node, component)`` of all ids that have a link to a smaller one, from bucket rows ``(key, id)``.
 
-    ``sets_of(ids)`` gives the ``(id, set)`` rows of stored ids: sorted 64-bit hashes as bytes. ``likely(pairs)`` may
-    drop pairs ``(hi, lo)`` of the stars that a sketch rules out before any set is made. Stars, checks on full sets, further
-    rounds and the exact end are as the module says: no two members of a bucket are left that have a link and other components.
+    ``items_of(ids)`` gives the ``(id, item)`` rows of stored ids, of which ``sets`` makes sorted sets of 64-bit hashes.
+    Stars, checks on full sets and the exact end are as the module says: no two members of a bucket are left that have a
+    link and other components.
+    A bucket of two is settled by its one pair, so only members of larger ones are looked up.
     """
-    shared = persist_table(
-        bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "minhash-buckets"
+    groups = persist_table(
+        bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi"), "minhash-buckets"
     )
-    buckets = persist_table(by_id(bands, shared, "key", "inner").select("key", "id", "size"), "minhash-members")
-
-    def on_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("lo"), F.col("set").alias("sb")), "lo").join(
-            sets.select(F.col("id").alias("hi"), F.col("set").alias("sa")), "hi"
-        )
-        ok = with_arrow_columns(both, _check(percent), [T.StructField("ok", T.BooleanType())], ["sa", "sb"])
-        return persist_table(ok.where("ok").select("hi", "lo").distinct(), "minhash-links")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        if likely:
-            pairs = persist_table(likely(pairs), "minhash-likely")
-        ids = persist_table(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct(), "minhash-candidates")
-        return on_sets(pairs, persist_table(sets_of(ids), "minhash-sets"))
-
-    def merged(placed: DataFrame, ends: DataFrame) -> DataFrame:
-        # links between components: their components are the new names
-        now = persist_table(placed.select("id", "component").distinct(), "minhash-labels")
-        for end in ("hi", "lo"):
-            ends = ends.join(now.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
-        return renamed(placed, ends)
-
-    def renamed(placed: DataFrame, ends: DataFrame) -> DataFrame:
-        names = connected_components(ends, "hi", "lo").select(F.col("node").alias("component"), F.col("component").alias("new"))
-        return persist_table(placed.join(names, "component", "left").select(*[F.coalesce("new", c).alias(c) if c == "component" else c for c in placed.columns]), "minhash-placed")
-
-    # the first centre of a bucket is the member with most company in all its buckets: of edited copies, the original
-    weight = persist_table(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "minhash-weights")
-    first = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("mid"))
-    first = buckets.join(persist_table(first, "minhash-centres"), "key").where("id <> mid")
-    tested = persist_table(first.select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo")).distinct(), "minhash-pairs")
-    found, turn = verified(tested), 1
-    placed = buckets.select("key", "id", "size", F.col("id").alias("component"))
-    while not found.isEmpty():
-        placed = merged(placed, found) if turn > 1 else renamed(placed, found)
-        some = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn), F.lit(k))) for k in range(CENTRES)]))
-        centre = persist_table(
-            placed.groupBy("key")
-            .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), some.alias("m"))
-            .where("c0 < c1")
-            .select("key", F.inline("m").alias("mid", "mc")),
-            "minhash-centres",
+    members = persist_table(by_id(bands, groups.where("size > 2").select("key"), "key", "inner").select("key", "id").distinct(), "minhash-members")
+    # a centre is the member with most company in all its buckets: of edited copies, the original
+    ranked = persist_table(members.join(members.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"), "minhash-ranked")
+    best = lambda: F.min_by("id", F.struct(-F.col("weight"), "id")).alias("mid")
+    pair = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+
+    def verified(pairs: DataFrame, items: DataFrame | None = None) -> DataFrame:
+        own = []
+        if items is None:
+            own.append(ids := persist_table(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct(), "minhash-candidates"))
+            own.append(items := persist_table(items_of(ids), "minhash-items"))
+        both = pairs.join(items.select(F.col("id").alias("lo"), F.col("item").alias("sb")), "lo").join(
+            items.select(F.col("id").alias("hi"), F.col("item").alias("sa")), "hi"
         )
-        more = placed.join(centre, "key").where("component <> mc").select(F.greatest("id", "mid").alias("hi"), F.least("id", "mid").alias("lo"))
-        more = persist_table(more.distinct().join(tested, ["hi", "lo"], "left_anti"), "minhash-pairs")
-        if more.isEmpty():
-            break
-        found, tested, turn = verified(more), tested.union(more), turn + 1
-
-    # what the stars leave open: buckets of more than one component, but for those whose one pair the first star tested
-    still = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    ids = persist_table(by_id(placed, persist_table(still, "minhash-open"), "key", "left_semi").select("id", "component").distinct(), "minhash-open-ids")
+        ok = with_arrow_columns(both, _check(percent, sets), [T.StructField("ok", T.BooleanType())], ["sa", "sb"])
+        out = persist_table(ok.where("ok").select("hi", "lo").distinct(), "minhash-links")
+        drop_table(*own)
+        return out
+
+    first = persist_table(ranked.groupBy("key").agg(best()), "minhash-centres")
+    stars = ranked.join(first, "key").where("id <> mid").select(*pair("id", "mid"))
+    tested = persist_table(stars.union(groups.where("size = 2").select("hi", "lo")).distinct(), "minhash-pairs")
+    drop_table(groups)
+    found = verified(tested)
+
+    labels = connected_components(found, "hi", "lo")
+
+    def place(labels: DataFrame) -> DataFrame:
+        of = labels.withColumnRenamed("node", "id")
+        return persist_table(ranked.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "minhash-placed")
+
+    placed = place(labels)
+    some = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("key", "id", F.lit(k))) for k in range(CENTRES)]))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"), some.alias("m"))
+    open_ = persist_table(open_.where("c0 < c1").select("key", "n", "m"), "minhash-centres")
+    centre = open_.where(F.col("n") > SMALL).select("key", F.inline("m").alias("mid", "mc"))
+    few = placed.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", F.col("id").alias("mid"), F.col("component").alias("mc"))
+    more = placed.join(centre.union(few), "key").where("component <> mc").select(*pair("id", "mid")).distinct()
+    more = persist_table(more.join(tested, ["hi", "lo"], "left_anti"), "minhash-pairs")
+    if not more.isEmpty():
+        again = verified(more)
+        if not again.isEmpty():
+            labels = connected_components(found.union(again), "hi", "lo")
+            drop_table(placed)
+            placed = place(labels)
+
+    # what the stars leave open: buckets of more than one component
+    still = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
+    still = still.where((F.col("c0") < F.col("c1")) & (F.col("n") > SMALL)).select("key")
+    ids = persist_table(placed.join(still, "key", "left_semi").select("id", "component").distinct(), "minhash-open-ids")
+    drop_table(members, ranked, first, open_, tested, more)
     if not ids.isEmpty():
-        sets = persist_table(sets_of(ids.select("id")).join(ids, "id"), "minhash-open-sets")
-        ends = on_sets(persist_table(exact_candidates(sets, percent), "minhash-exact-pairs"), sets)
+        items = persist_table(items_of(ids.select("id")).join(ids, "id"), "minhash-open-items")
+        pairs = exact_candidates(items, percent, sets)
+        ends = verified(pairs, items)
+        drop_table(items, pairs)
         if not ends.isEmpty():
-            placed = merged(placed.select("id", "component").distinct(), ends)
-    return placed.where("id <> component").select(F.col("id").alias("node"), "component").distinct()
+            # links between components: their components are the new names
+            for end in ("hi", "lo"):
+                ends = ends.join(ids.withColumnsRenamed({"id": end, "component": f"{end}_c"}), end).drop(end).withColumnRenamed(f"{end}_c", end)
+            names = connected_components(ends, "hi", "lo").select(F.col("node").alias("root"), F.col("component").alias("new"))
+            # a root may have no label of its own yet
+            every = labels.union(names.select("root", F.col("root").alias("component"))).distinct()
+            labels = persist_table(every.join(names, F.col("component") == F.col("root"), "left").select("node", F.coalesce("new", "component").alias("component")), "minhash-labels")
+    drop_table(placed, ids)
+    return labels.where("node <> component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -308,14 +341,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = persist_table(member.where("id <> rep").select("id", "f1", "f2").distinct(), "minhash-copies")
     reps = by_id(linked, copies, ["id", "f1", "f2"], "left_anti")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = by_id(docs.where("id is not null"), ids, "id", "left_semi")
-        out = with_arrow_columns(chosen, _sets("text", shingle), [T.StructField("set", T.BinaryType())], ["text"])
+    def items_of(ids: DataFrame) -> DataFrame:
+        out = by_id(docs.where("id is not null"), ids, "id", "left_semi").select("id", F.col("text").alias("item"))
         # where rows repeat an id, every text's set is compared, each once
         return out if single else out.distinct()
 
     single = unrepeated(reps.select("id"), ["id"])
-    labels = linked_components(reps.select(F.explode("keys").alias("key"), "id"), sets_of, percent)
+    labels = linked_components(reps.select(F.explode("keys").alias("key"), "id"), items_of, percent, sets_of_texts(shingle))
 
     # back to all documents: a copy has its class's component
     top = persist_table(
@@ -323,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("id <> component").groupBy("id").agg(F.min("component").alias("component")),
         "minhash-removed",
     )
+    drop_table(classes, copies)
     out = by_id(sig.select("id", "n"), top, "id", "left")
     return out.select(
         F.col("id").alias(id_col),

@@ -65,7 +65,7 @@ def test_candidates_are_exact_for_sets_of_all_sizes(spark):
             s = {r.randrange(1, 2**63) for _ in range(r.choice((1, 2, 5, 9, 30, 200)))}
         sets[i] = s
         rows.append((i, i, bytearray(np.sort(np.array(sorted(s), np.uint64)).tobytes())))
-    stored = spark.createDataFrame(rows, "id long, component long, set binary")
+    stored = spark.createDataFrame(rows, "id long, component long, item binary")
     got = {(x.hi, x.lo) for x in minhash.exact_candidates(stored, 80).collect()}
     want = {(i, j) for i in sets for j in range(i) if linked(sets[i], sets[j])}
     assert len(want) > 30 and want <= got

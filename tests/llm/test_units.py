@@ -58,7 +58,7 @@ def test_anchors_depend_on_the_window_alone():
         for _ in range(2):
             left, right = ([r.choice(alphabet) for _ in range(r.randrange(0, 9))] for _ in range(2))
             h = np.array(left + inner + right, np.uint64)
-            start, name = recompression.anchors(h, np.array([0, len(h)]))
+            start, name, _ = recompression.anchors(h, np.array([0, len(h)]))
             at = {s: n for s, n in zip(start.tolist(), name.tolist(), strict=True)}
             names.append([at[len(left) + k] for k in range(30 - recompression.WINDOW + 1)])
         assert names[0] == names[1]
