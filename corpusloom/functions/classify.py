@@ -25,6 +25,8 @@ OTHER_CODE = r"(?m)^\s*(import |from \w+ import |def \w+\(|function \w+\(|const
 HTML = r"(?i)<(html|div|span|script)\b"
 WIDE = r"[^一-鿿぀-ヿ]"
 SAMPLE = 200_000
+#: Reasons decided by the signals; files that an earlier rule rejects have none counted.
+COUNTED = ("too-few-q-signals", "signal-sparse", "keep")
 
 
 def n_signals(t: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import uniform
+from corpusloom.operators.similarity import sized
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -15,15 +16,15 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
 
 
 def bootstrap(values: DataFrame, value: str, resamples: int, seed: str) -> DataFrame:
-    """One row: n, mean, lo, hi. ``values`` has a dense ``idx`` from 0; it is a per-problem table, so its size is
-    counted and it is broadcast; the (resample, draw) cells are spread over the cluster and aggregated.
+    """One row: n, mean, lo, hi. ``values`` has a dense ``idx`` from 0; it is broadcast if it is measured to be
+    small; the (resample, draw) cells are spread over the cluster and aggregated.
 
     Draws are hashes of (seed, resample, place): the same on every run and engine.
     """
     n = values.count()
     cells = values.sparkSession.range(resamples).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("j"))
     drawn = cells.select("b", (uniform(seed, F.concat_ws(":", "b", "j")) % F.lit(max(n, 1))).alias("idx"))
-    means = drawn.join(F.broadcast(values.select("idx", value)), "idx").groupBy("b").agg(F.avg(value).alias("m"))
+    means = drawn.join(sized(values.select("idx", value)), "idx").groupBy("b").agg(F.avg(value).alias("m"))
     lo, hi = int(resamples * 0.025), int(resamples * 0.975)
     ci = means.agg(F.sort_array(F.collect_list("m")).alias("s")).select(F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(min(hi, resamples - 1))).alias("hi"))
     point = values.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))

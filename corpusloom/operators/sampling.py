@@ -73,10 +73,16 @@ def running_offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, key: str, tokens: str, block: int, eos) -> DataFrame:
-    """``(block, tokens)``: documents with an end mark each, in key order, cut into full blocks; the tail is dropped."""
+    """``(block, tokens)``: documents with an end mark each, in key order, cut into full blocks; the tail is dropped.
+
+    A block is put together from one slice of each document in it.
+    """
     ended = docs.select(key, F.concat(F.col(tokens), F.array(eos)).alias("t"))
     placed = running_offsets(ended.select(key, F.size("t").alias("n").cast("long")), key, "n").select(key, "start")
-    cells = ended.join(placed, key).select(F.col("start"), F.posexplode("t").alias("i", "tok"))
-    at = F.col("start") + F.col("i")
-    blocks = cells.select(F.floor(at / block).alias("block"), (at % block).alias("pos"), "tok").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("c"))
-    return blocks.where(F.size("c") == block).select("block", F.transform("c", lambda x: x["tok"]).alias("tokens"))
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("t") - 1) / block)
+    slices = ended.join(placed, key).select("start", "t", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    end = F.least((F.col("block") + 1) * block - F.col("start"), F.size("t").cast("long"))
+    slices = slices.select("block", F.struct("start", F.slice("t", (begin + 1).cast("int"), (end - begin).cast("int")).alias("s")).alias("p"))
+    blocks = slices.groupBy("block").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["s"])).alias("tokens"))
+    return blocks.where(F.size("tokens") == block)

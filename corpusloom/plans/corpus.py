@@ -39,6 +39,7 @@ def clean_corpus_report(t):
     )
 
 
+# The classifier's patterns, as in functions/classify.py, for the SQL.
 _SIG = " + ".join(
     f"CAST(regexp_matches(s, '{p}') AS INT)"
     for p in (
@@ -50,7 +51,7 @@ _CLASSIFIED = rf"""
 WITH f AS (SELECT 'd' || doc_id AS id, source AS repo, text AS t FROM documents UNION ALL SELECT 'p' || page_id, 'web', html FROM pages),
 g AS (SELECT *, substr(t, 1, 200000) AS s, substr(t, 1, 4000) AS h, substr(t, 1, 2000) AS h2 FROM f),
 c AS (SELECT *, {_SIG} AS n, length(s) AS z FROM g),
-r AS (SELECT id, repo, n AS n_signals, octet_length(encode(t)) AS bytes, CASE
+e AS (SELECT id, repo, n, octet_length(encode(t)) AS bytes, CASE
   WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty'
   WHEN regexp_matches(t, '^\s*[\[{{]\s*"') THEN 'json'
   WHEN regexp_matches(h, 'SyntaxVersion=|BeginHotkey=|MacroID=') OR (regexp_matches(h2, '(?m)^\s*\[[A-Za-z ]+\]\s*$') AND contains(h2, '=')) THEN 'ini/quickmacro'
@@ -58,7 +59,8 @@ r AS (SELECT id, repo, n AS n_signals, octet_length(encode(t)) AS bytes, CASE
   WHEN regexp_matches(h, '(?i)<(html|div|span|script)\b') THEN 'html'
   WHEN regexp_matches(h, '(?m)^\s*(import |from \w+ import |def \w+\(|function \w+\(|const \w+ =)') AND NOT regexp_matches(h, '(?m)^\s*[.\w]+\s*:\s*\{{') THEN 'python/js'
   WHEN n < CASE WHEN z < 4000 THEN 1 WHEN z < 20000 THEN 2 ELSE 3 END THEN 'too-few-q-signals'
-  WHEN z > 50000 AND n / greatest(z / 1024, 1) < 0.02 THEN 'signal-sparse' ELSE 'keep' END AS reason FROM c)
+  WHEN z > 50000 AND n / greatest(z / 1024, 1) < 0.02 THEN 'signal-sparse' ELSE 'keep' END AS reason FROM c),
+r AS (SELECT id, repo, CASE WHEN reason IN ('too-few-q-signals', 'signal-sparse', 'keep') THEN n ELSE 0 END AS n_signals, bytes, reason FROM e)
 """
 
 
@@ -67,7 +69,8 @@ def _classified(t):
         t.pages.select(F.concat(F.lit("p"), F.col("page_id")), F.lit("web"), F.col("html"))
     )
     scored = files.withColumn("n_signals", classify.n_signals(F.col("t")))
-    return scored.select("id", "repo", "n_signals", F.octet_length("t").cast("long").alias("bytes"), classify.reason(F.col("t"), F.col("n_signals")).alias("reason"))
+    why = scored.select("id", "repo", "n_signals", F.octet_length("t").cast("long").alias("bytes"), classify.reason(F.col("t"), F.col("n_signals")).alias("reason"))
+    return why.withColumn("n_signals", F.when(F.col("reason").isin(*classify.COUNTED), F.col("n_signals")).otherwise(0))
 
 
 @query(_CLASSIFIED + "SELECT reason, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(n_signals) AS BIGINT) AS n_signals FROM r GROUP BY reason")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.functions.values import agree, agree_absolute, agree_or_both_fail, agreement_udf
 from corpusloom.operators import evaluation
+from corpusloom.operators.sampling import running_offsets
 from corpusloom.plans.registry import query
 from corpusloom.plans.sampling import _u, samples
 
@@ -27,6 +29,11 @@ def pass_at_k(t):
     return k.agg(*[F.round(F.avg(evaluation.pass_at_k(F.col("n"), F.col("c"), j)), 6).alias(f"pass_at_{j}") for j in (1, 5, 10, 20)], F.count(F.lit(1)).alias("n_tasks"))
 
 
+def _numbered(rows):
+    """Rows with a dense ``idx`` from 0 in task order."""
+    return running_offsets(rows.withColumn("one", F.lit(1).cast("long")), "task", "one").withColumnRenamed("start", "idx")
+
+
 _BOOT = """
 , v AS ({v}), b AS (SELECT b, avg(x) AS m FROM (SELECT b, {u} % (SELECT count(*) FROM v) AS idx FROM unnest(range({r})) t(b), unnest(range((SELECT count(*) FROM v))) j(j)) d JOIN v USING (idx) GROUP BY b),
 s AS (SELECT list(m ORDER BY m) AS s FROM b)
@@ -34,11 +41,11 @@ SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(x) FROM v), 6) AS mean,
 """
 
 
-@query(_TASKS + _BOOT.format(v="SELECT row_number() OVER (ORDER BY task) - 1 AS idx, c / n AS x FROM k", u=_u("boot", "b || ':' || j"), r=1000, lo=26, hi=976))
+@query(_TASKS + _BOOT.format(v="SELECT row_number() OVER (ORDER BY task) - 1 AS idx, c / n AS x FROM k", u=_u("boot", "b || ':' || j"), r=10000, lo=251, hi=9751))
 def bootstrap_ci(t):
     """Mean pass rate with a bootstrap interval over tasks."""
-    v = tasks(t).select((F.row_number().over(Window.orderBy("task")) - 1).alias("idx"), (F.col("c") / F.col("n")).alias("x"))
-    return evaluation.bootstrap(v, "x", 1000, "boot").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+    v = _numbered(tasks(t).select("task", (F.col("c") / F.col("n")).alias("x")))
+    return evaluation.bootstrap(v, "x", 10_000, "boot").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 _PAIRED = "WITH a AS (SELECT user_id AS task, avg(CAST(value > 50 AS DOUBLE)) AS x FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), z AS (SELECT user_id AS task, avg(CAST(value > 50 AS DOUBLE)) AS y FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1), k AS (SELECT * FROM a JOIN z USING (task))"
@@ -50,11 +57,11 @@ def paired(t):
     return t.events.where(left).groupBy(F.col("user_id").alias("task")).agg(rate("x")).join(t.events.where(~left).groupBy(F.col("user_id").alias("task")).agg(rate("y")), "task")
 
 
-@query(_PAIRED + _BOOT.format(v="SELECT row_number() OVER (ORDER BY task) - 1 AS idx, x - y AS x FROM k", u=_u("pair", "b || ':' || j"), r=1000, lo=26, hi=976))
+@query(_PAIRED + _BOOT.format(v="SELECT row_number() OVER (ORDER BY task) - 1 AS idx, x - y AS x FROM k", u=_u("pair", "b || ':' || j"), r=10000, lo=251, hi=9751))
 def paired_bootstrap(t):
     """Mean difference of two runs over the same draws of tasks."""
-    v = paired(t).select((F.row_number().over(Window.orderBy("task")) - 1).alias("idx"), (F.col("x") - F.col("y")).alias("x"))
-    return evaluation.bootstrap(v, "x", 1000, "pair").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+    v = _numbered(paired(t).select("task", (F.col("x") - F.col("y")).alias("x")))
+    return evaluation.bootstrap(v, "x", 10_000, "pair").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 @query(_PAIRED + "SELECT CAST(sum(CAST(x > y AS INT)) AS BIGINT) AS wins, CAST(sum(CAST(x < y AS INT)) AS BIGINT) AS losses, CAST(sum(CAST(x = y AS INT)) AS BIGINT) AS ties, CAST(sum(CAST(x = 0 AND y = 0 AS INT)) AS BIGINT) AS never FROM k")
@@ -77,7 +84,7 @@ def rollouts(t):
 
 @query(_ROLL + """
 , g AS (SELECT round, id, count(*) AS n, sum(reward) AS s, sum(CAST(reward = 1 AS INT)) AS p, count(DISTINCT reward) AS kinds, sum(CAST(looped AS INT)) AS l, sum(CAST(failed AS INT)) AS f FROM r GROUP BY round, id)
-SELECT round, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS rollouts, round(sum(s) / sum(n), 6) AS mean_reward, CAST(sum(p) AS BIGINT) AS full_passes, CAST(sum(CAST(kinds > 1 AS INT)) AS BIGINT) AS groups_with_spread, CAST(sum(l) AS BIGINT) AS loops, CAST(sum(f) AS BIGINT) AS errors FROM g GROUP BY round
+SELECT round, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS rollouts, round_even(sum(s) / sum(n), 4) AS mean_reward, CAST(sum(p) AS BIGINT) AS full_passes, CAST(sum(CAST(kinds > 1 AS INT)) AS BIGINT) AS groups_with_spread, CAST(sum(l) AS BIGINT) AS loops, CAST(sum(f) AS BIGINT) AS errors FROM g GROUP BY round
 """)
 def round_summary(t):
     """One line a round."""
@@ -85,7 +92,7 @@ def round_summary(t):
         F.count(F.lit(1)).alias("n"), F.sum("reward").alias("s"), F.count_if(F.col("reward") == 1).alias("p"), F.count_distinct("reward").alias("kinds"), F.count_if("looped").alias("l"), F.count_if("failed").alias("f")
     )
     return g.groupBy("round").agg(
-        F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("rollouts"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_reward"), F.sum("p").alias("full_passes"),
+        F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("rollouts"), F.bround(F.sum("s") / F.sum("n"), 4).alias("mean_reward"), F.sum("p").alias("full_passes"),
         F.count_if(F.col("kinds") > 1).alias("groups_with_spread"), F.sum("l").alias("loops"), F.sum("f").alias("errors"),
     )
 
@@ -230,18 +237,25 @@ def numeric_domain(t):
     return g.select("user_id", "lo", F.greatest("h", F.col("lo") + 1).alias("hi"))
 
 
-@query("SELECT conv_id, bool_or(lower(rtrim(trim(substr(text, 1, 3)), '.')) <> 'no') AS dropped FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, coalesce(bool_or(lower(rtrim(trim(text), '.')) <> 'no'), true) AS dropped FROM conversations GROUP BY conv_id")
 def judge_any(t):
     """Any answer but a plain no drops the row."""
-    reply = F.lower(F.rtrim(F.trim(F.substring("text", 1, 3)), F.lit(".")))
-    return t.conversations.groupBy("conv_id").agg(F.bool_or(reply != "no").alias("dropped"))
+    reply = F.lower(F.rtrim(F.trim("text"), F.lit(".")))
+    return t.conversations.groupBy("conv_id").agg(F.coalesce(F.bool_or(reply != "no"), F.lit(True)).alias("dropped"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(role || '<|im_start|>assistant' || text, '(?s)^.*<\\|im_start\\|>assistant', '') = text AS same FROM conversations")
+@query("""
+SELECT conv_id, turn, split_part(trained, '<|im_start|>assistant', -1) = split_part(served, '<|im_start|>assistant', -1) AS same FROM (
+  SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || text AS trained,
+    '<|im_start|>assistant' || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS served FROM conversations)
+""")
 def prompt_parity(t):
-    """Prompts agree if what follows the last assistant mark agrees."""
-    full = F.concat("role", F.lit("<|im_start|>assistant"), "text")
-    return t.conversations.select("conv_id", "turn", (F.substring_index(full, "<|im_start|>assistant", -1) == F.col("text")).alias("same"))
+    """A training prompt and a served prompt, rendered apart, agree if what follows their last assistant mark agrees."""
+    mark = F.lit("<|im_start|>assistant")
+    trained = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"), mark, F.lit("\n"), "text")
+    served = F.concat(mark, F.lit("\n"), text.normalise(F.col("text")))
+    last = lambda c: F.substring_index(c, "<|im_start|>assistant", -1)
+    return t.conversations.select("conv_id", "turn", (last(trained) == last(served)).alias("same"))
 
 
 @query("SELECT event_type AS model, round(avg(CAST(value > 50 AS DOUBLE)), 6) AS pass_rate, round(count(*) / 30.0, 6) AS per_day, avg(CAST(value > 50 AS DOUBLE)) >= 0.15 AND count(*) / 30.0 >= 9 AS qualifies FROM events GROUP BY 1")

@@ -55,8 +55,10 @@ def read_text_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
 def read_listed(spark: SparkSession, list_path: str, files: DataFrame) -> DataFrame:
     """The files that a white-space separated list names by the end of their paths."""
     names = spark.read.text(list_path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("name")).where("name <> ''").distinct()
-    own = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return own.join(names.select(F.element_at(F.split("name", "/"), -1).alias("name")).distinct(), "name", "left_semi").drop("name")
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    names = names.select("name", base("name").alias("__base"))
+    ends = (F.col("path") == F.col("name")) | F.endswith("path", F.concat(F.lit("/"), "name"))
+    return files.withColumn("__own", base("path")).join(names, (F.col("__own") == F.col("__base")) & ends, "left_semi").drop("__own")
 
 
 def read_tolerant_json(spark: SparkSession, path: str) -> DataFrame:

@@ -43,9 +43,15 @@ def split_rejects(df: DataFrame, reason: str, kept_path: str, rejects_path: str,
 
 
 def rewrite_with_backup(df: DataFrame, path: str, backup: str) -> None:
-    """Replace a Parquet folder; the old rows are backed up first, and an existing backup is never overwritten."""
+    """Replace a Parquet folder; the old rows are backed up first. An existing backup is kept, never overwritten."""
     spark = df.sparkSession
-    spark.read.parquet(path).write.mode("errorifexists").parquet(backup)
+    context = spark.sparkContext
+    files = lambda p: (context._jvm.org.apache.hadoop.fs.Path(p), context._jsc.hadoopConfiguration())
+    place, conf = files(backup)
+    if not place.getFileSystem(conf).exists(place):
+        spark.read.parquet(path).write.parquet(backup)
     staged = f"{path}.staged"
     df.write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    place, conf = files(staged)
+    place.getFileSystem(conf).delete(place, True)
