@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,7 +123,7 @@ def _line_rows(batches):
             g, at = lines.shingles()
             with np.errstate(over="ignore"):
                 f1 = np.add.reduceat(g, at[:-1])
-                f2 = np.add.reduceat(mix(g ^ salt), at[:-1])
+                f2 = np.add.reduceat(g * (g ^ salt), at[:-1])
             keys = bucket_keys(g, at)
             who = pa.array(lines.doc + block.lo)
             columns = [ids.take(who), tks.take(who), pa.array(lines.number.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
@@ -205,15 +206,14 @@ def _cut(text_col: str):
         def work(batch):
             texts = batch.column(batch.schema.get_field_index(text_col))
             gone = batch.column(batch.schema.get_field_index("__loom_lines"))
-            new, total, removed = [], [], []
-            for t, g in zip(texts, gone, strict=True):
-                t, g = t.as_py(), g.as_py()
-                lines = t.split("\n") if t is not None else []
-                drop = set(g or ())
-                new.append(t if not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-                total.append(len(lines))
-                removed.append(len(drop))
-            return [pa.array(new, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            total = pc.fill_null(pc.add(pc.count_substring(texts, "\n").cast(pa.int64()), 1), 0)
+            removed = pc.fill_null(pc.list_value_length(gone).cast(pa.int64()), 0)
+            touched = pc.greater(removed, 0)
+            new = []
+            for t, g in zip(texts.filter(touched).to_pylist(), gone.filter(touched).to_pylist(), strict=True):
+                drop = set(g)
+                new.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+            return [pc.replace_with_mask(texts, touched, pa.array(new, texts.type)), total, removed]
 
         return work
 
@@ -224,7 +224,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` plus ``kept_text``, ``n_lines`` and ``n_removed`` (names take ``prefix``).
 
     A null text has no lines and stays null; an empty text has one blank line. A document whose lines all go keeps
-    its row, with an empty text.
+    its row, with an empty text. Of equal and near lines the first by (id, number) stays; a null id comes last; ids may be
+    of any type that orders. Rows that repeat an id and a text are one document and lose the same lines. An empty table
+    gives an empty result. A new name that ``docs`` has, in whatever case, is an error: give a ``prefix``.
     """
     removals = removable_lines(docs, id_col, text_col).withColumnRenamed("lines", "__loom_lines")
     keyed = docs.withColumns({"__loom_doc": whole_ids(docs, id_col), "__loom_tk": F.xxhash64(text_col)})

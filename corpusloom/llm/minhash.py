@@ -117,7 +117,7 @@ def stored_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 #: Rows whose sets are in memory together.
-_TOGETHER = 256
+_TOGETHER = 512
 
 
 def _in_parts(batch, columns: list[str], sets):
