@@ -1,14 +1,20 @@
 """Main text of web pages, by templates deduced from the pages of each host.
 
-Tokens of a page are its tags, each with the path of containers it stands in, and its whole text runs. A token's
-occurrence vector over the pages of a host says how often it stands on each; tokens with equal vectors form an
-equivalence class. A class of enough tokens on enough pages whose mean places differ is part of the host's template.
-Classes are not ordered or nested, and no slots are formed: in pages with an article container, known by tag and
-class names, its text outside furniture is the article and the template decides nothing. In other pages text runs
-that are template tokens are furniture.
-
-Vectors are never collected: a vector's hash is a sum over pages, so hosts of any size are pre-aggregated. Only
-template tokens (on at least ``MIN_PAGES`` pages and a third of the host's) return to the pages.
+Tokens of a page are its container tags, each with the path of containers it stands in, its other tags and its whole
+text runs. A token's occurrence vector says how often it stands on each page of a host; tokens with equal vectors form
+an equivalence class. A class is a candidate if it has ``MIN_CLASS`` tokens, a tag among them (a class of texts alone
+is data that repeats), and stands on ``MIN_PAGES`` different pages and ``MIN_SHARE`` of the host's. It is valid if on
+every page its tokens come in one order, tuple after tuple, and no tuple straddles one of a commoner class: valid classes
+nest, and together are the host's template.
+
+What stands between template tokens are slots. The template labels each: as the containers it lies in, by tag and
+class names as hints; and as a menu where most of its text on all pages of the host is link text. A page's main text is
+what its article slots hold, or all slots that aren't furniture where it has no article slot; template texts are never
+part of it. Containers that some pages open inside a slot (a notice, reader comments) are told by the same hints.
+Pages of hosts without a template have their hints alone.
+
+Vectors are never collected: a vector's hash is a sum over pages, so hosts of any size are pre-aggregated. Copies of a
+page count as one page. Only template tokens return to the pages.
 """
 
 from __future__ import annotations
@@ -23,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id
 from corpusloom.llm.textblocks import mix
-from corpusloom.session import persist_table, ship_package
+from corpusloom.session import drop_table, persist_table, ship_package
 
-#: A template token stands on at least so many pages, and so large a share, of its host; a class has so many tokens.
+#: A template token stands on at least so many different pages, and so large a share, of its host; a class has so many tokens.
 MIN_PAGES, MIN_SHARE, MIN_CLASS = 4, 1 / 3, 3
 
 _TOKEN = re.compile(
@@ -40,7 +47,6 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
 #: Elements that open a container; others (p, li, inline tags) need no end tag to be right.
 _CONTAINER = frozenset("html head body article main section div nav header footer aside form ul ol dl table fieldset figure menu dialog details blockquote select button".split())
@@ -67,76 +73,150 @@ def _marks(attrs: str) -> set[str]:
     return out
 
 
+FURNITURE, BODY, TAG = 1, 2, 4
+
+
 class Run:
-    """A text run: its text, whether a block begins before it, and where it stands."""
-
-    __slots__ = ("body", "furniture", "path", "text")
-
-    def __init__(self, text: str, path: int, furniture: bool, body: bool):
-        self.text, self.path, self.furniture, self.body = text, path, furniture, body
-
-
-def parse(page: str) -> tuple[list[Run], list[int]]:
-    """Text runs in page order (a run ``" "`` where a block begins or ends), and the hashes of all tokens in order."""
-    runs: list[Run] = []
-    tokens: list[int] = []
-    # open containers: name, path hash, furniture inside, article inside
-    stack: list[tuple[str, int, bool, bool]] = [("", 17, False, False)]
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            _text(page[at : m.start()], stack[-1], runs, tokens)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"]:
-                tokens.append(hash_of(stack[-1][1], "<" + m["raw"].lower()))
-            continue
-        tag = tag.lower()
+    """A text run: its text, the label of its place, its depth, its place among the tokens, whether it is a link's."""
+
+    __slots__ = ("at", "depth", "label", "link", "text")
+
+    def __init__(self, text: str, label: int, depth: int, at: int, link: bool):
+        self.text, self.label, self.depth, self.at, self.link = text, label, depth, at, link
+
+
+class Parsed:
+    """Text runs in page order (a run ``" "`` where a block begins or ends), and all tokens with label and depth."""
+
+    def __init__(self, page: str):
+        self.runs: list[Run] = []
+        self.tokens: list[int] = []
+        self.labels: list[int] = []
+        self.depths: list[int] = []
+        # open containers: name, path hash, label
+        self.stack: list[tuple[str, int, int]] = [("", 17, 0)]
+        self.link = False
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if m["tag"]:
+                self._tag(m["tag"].lower(), bool(m["end"]), m["attrs"])
+            elif m["raw"]:
+                self._token(hash_of(self.stack[-1][1], "<" + m["raw"].lower()), TAG)
+        if at < len(page):
+            self._text(page[at:])
+
+    def _token(self, name: int, kind: int) -> None:
+        self.tokens.append(name)
+        self.labels.append(self.stack[-1][2] | kind)
+        self.depths.append(len(self.stack))
+
+    def _text(self, raw: str) -> None:
+        _, path, label = self.stack[-1]
+        self.runs.append(Run(html_lib.unescape(raw), label, len(self.stack), len(self.tokens), self.link))
+        if raw.strip():
+            self._token(hash_of(path, raw.strip()), 0)
+
+    def _tag(self, tag: str, end: bool, attrs: str) -> None:
+        stack = self.stack
         if tag not in _INLINE:
-            runs.append(Run(" ", stack[-1][1], stack[-1][2], stack[-1][3]))
-        if m["end"]:
+            self.runs.append(Run(" ", stack[-1][2], len(stack), len(self.tokens), False))
+        if tag == "a":
+            self.link = not end
+        if end:
             if tag in _CONTAINER:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        tokens.append(hash_of(stack[k][1], "</"))
+                        name = hash_of(stack[k][1], "</")
                         del stack[k:]
+                        self._token(name, TAG)
                         break
-            continue
-        tokens.append(hash_of(stack[-1][1], "<" + tag))
-        if tag in _CONTAINER and tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
-            _, path, furniture, body = stack[-1]
-            marks = _marks(m["attrs"])
-            furniture = furniture or tag in _FURNITURE or (tag == "header" and not body) or "hidden" in marks
-            if not furniture and tag not in ("html", "body", "main"):
-                furniture = bool(marks & _MARKS) and not (tag == "article" and not body and not marks & {"comment", "comments", "reply"})
-            body = body or tag in ("article", "main") or (bool(marks & _BODY_MARKS) and tag in ("div", "section") and not furniture)
-            stack.append((tag, hash_of(path, tag + " " + " ".join(sorted(marks))), furniture, body))
-    if at < len(page):
-        _text(page[at:], stack[-1], runs, tokens)
-    return runs, tokens
-
-
-def _text(raw: str, top: tuple, runs: list[Run], tokens: list[int]) -> None:
-    _, path, furniture, body = top
-    runs.append(Run(html_lib.unescape(raw), path, furniture, body))
-    if raw.strip():
-        tokens.append(hash_of(path, raw.strip()))
+            return
+        _, path, label = stack[-1]
+        if tag not in _CONTAINER or attrs.rstrip().endswith("/"):
+            self._token(hash_of(path, "<" + tag), TAG)
+            return
+        marks = _marks(attrs)
+        body = bool(label & BODY)
+        furniture = bool(label & FURNITURE) or tag in _FURNITURE or (tag == "header" and not body) or "hidden" in marks
+        if not furniture and tag not in ("html", "body", "main"):
+            furniture = bool(marks & _MARKS) and not (tag == "article" and not body and not marks & {"comment", "comments", "reply"})
+        body = body or tag in ("article", "main") or (bool(marks & _BODY_MARKS) and tag in ("div", "section") and not furniture)
+        own = hash_of(path, tag + " " + " ".join(sorted(marks)))
+        stack.append((tag, own, furniture * FURNITURE | body * BODY))
+        self._token(own, TAG)
 
 
 def hash_of(path: int, what: str) -> int:
     return int.from_bytes(hashlib.blake2b(what.encode("utf-8", "surrogatepass"), digest_size=8, key=path.to_bytes(8, "big")).digest(), "big")
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """The article of a page: text outside furniture; inside an article container if the page has one with text."""
-    runs, _ = parse(page)
-    open_ = [r for r in runs if not r.furniture]
-    if any(r.body and r.text.strip() for r in open_):
-        chosen = [r.text for r in open_ if r.body]
-    else:
-        chosen = [r.text for r in open_ if not r.text.strip() or hash_of(r.path, r.text.strip()) not in template]
-    return " ".join("".join(chosen).split())
+#: A template: token -> (class, place in the class, size of the class, pages of the class, label of the slot after it).
+Template = dict[int, tuple[int, int, int, int, int]]
+
+
+class Slots:
+    """Walks a page's tokens along a template: the open tuples, the slot at hand, and the classes found invalid."""
+
+    def __init__(self, parsed: Parsed, template: Template):
+        self.parsed, self.template, self.next = parsed, template, 0
+        self.open: list[list] = []  # class, next place, size, pages, slot
+        self.slot: tuple[int, int, int] | None = None  # token before it, label, depth of its container
+        self.invalid: set[int] = set()
+
+    def until(self, at: int) -> None:
+        """Take the tokens before number ``at``."""
+        tokens, template = self.parsed.tokens, self.template
+        while self.next < at:
+            token = tokens[self.next]
+            if token in template:
+                self._take(token, self.parsed.depths[self.next])
+            self.next += 1
+
+    def _take(self, token: int, depth: int) -> None:
+        cls, place, size, pages, label = self.template[token]
+        slot = (token, label, depth)
+        above = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == cls), None)
+        if (above is None) != (place == 0) or (above is not None and self.open[above][1] != place):
+            self.invalid.add(cls)
+            self.open = [x for x in self.open if x[0] != cls]
+            self.slot = slot
+            return
+        if above is None:
+            self.open.append([cls, 1, size, pages, slot])
+        else:
+            for other in self.open[above + 1 :]:  # tuples that straddle this one: the rarer class isn't nested
+                self.invalid.add(min((other[3], other[2], other[0]), (pages, size, cls))[2])
+            del self.open[above + 1 :]
+            self.open[above][1:] = [place + 1, size, pages, slot]
+        if place == size - 1:  # the tuple ends: back in the slot that holds it
+            self.open.pop()
+            slot = self.open[-1][4] if self.open else slot
+        self.slot = slot
+
+
+def main_text(page: str, template: Template) -> str:
+    """What the article slots of a page hold; if it has none with text, what all slots hold that aren't furniture."""
+    parsed = Parsed(page)
+    slots = Slots(parsed, template)
+    chosen: list[tuple[str, bool]] = []
+    for r in parsed.runs:
+        slots.until(r.at)
+        if not r.text.strip():
+            chosen.append((r.text, True))
+            continue
+        if r.at < len(parsed.tokens) and parsed.tokens[r.at] in template:
+            continue
+        label = r.label
+        if slots.slot and r.depth >= slots.slot[2]:  # a slot ends with its container
+            label |= slots.slot[1]
+        if not label & FURNITURE:
+            chosen.append((r.text, bool(label & BODY)))
+    if any(body and t.strip() for t, body in chosen):
+        chosen = [x for x in chosen if x[1]]
+    return " ".join("".join(t for t, _ in chosen).split())
 
 
 def host_of(url_col: str):
@@ -149,83 +229,150 @@ def _signed(x: int) -> int:
 
 
 def _vector_rows(batches):
-    """(host, token, pages, vector, order): per batch, sums over its pages.
+    """(host, token, pages, vector, place, label): per batch, sums over its pages (host, html, copies of the page).
 
-    vector is a sum of hashes of (page, count); order a sum of hashes of (page, first place), with which a class
-    shows whether its tokens keep one order: see ``deduce_templates``.
+    vector is a sum of hashes of (page, count), pages counts each copy as its share of one page.
     """
     for batch in batches:
-        sums: dict[tuple, list[int]] = {}
+        sums: dict[tuple, list] = {}
         with np.errstate(over="ignore"):
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for host, page, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 page = page.as_py() or ""
-                _, tokens = parse(page)
+                parsed = Parsed(page)
                 key = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-                count = Counter(tokens)
+                count = Counter(parsed.tokens)
                 names = np.fromiter(count.keys(), np.uint64, len(count))
                 vector = mix(np.uint64(key) ^ mix(np.fromiter(count.values(), np.uint64, len(count))))
-                first = {t: i for i, t in reversed(list(enumerate(tokens)))}
+                first = {t: i for i, t in reversed(list(enumerate(parsed.tokens)))}
                 for t, v in zip(names.tolist(), vector.tolist(), strict=True):
-                    row = sums.setdefault((host, t), [0, 0, 0])
-                    row[0] += 1
+                    row = sums.setdefault((host, t), [0.0, 0, 0, 0])
+                    row[0] += 1 / copies
                     row[1] = row[1] + v & (1 << 64) - 1
                     row[2] += first[t]
+                    row[3] |= parsed.labels[first[t]]
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()),
-                pa.array([_signed(sums[k][1]) for k in keys], pa.int64()), pa.array([sums[k][2] for k in keys], pa.int64()),
+                pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([sums[k][0] for k in keys], pa.float64()),
+                pa.array([_signed(sums[k][1]) for k in keys], pa.int64()), pa.array([sums[k][2] for k in keys], pa.int64()), pa.array([sums[k][3] for k in keys], pa.int32()),
             ],
-            names=["host", "token", "pages", "vector", "place"],
+            names=["host", "token", "pages", "vector", "place", "label"],
         )
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``(host, tokens)``: the template tokens of each host, from ``pages(host, html)``.
+_FIELDS = ["token", "cls", "rank", "size", "pages", "label"]
 
-    A template token is on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's; its class (equal vectors) has
-    ``MIN_CLASS`` tokens, no two of which have the same mean place (tokens of one order have distinct places).
-    """
-    rows = pages.mapInArrow(_vector_rows, "host string, token long, pages long, vector long, place long")
+
+def _template_of(columns: list) -> Template:
+    """The template from the lists of ``_FIELDS`` (empty for null)."""
+    if columns[0] is None:
+        return {}
+    return {t & (1 << 64) - 1: tuple(rest) for t, *rest in zip(*columns, strict=True)}
+
+
+def _templates(batch: pa.RecordBatch, first: int) -> list[Template]:
+    """The template of each row, made once for each host of a batch; the host is column ``first``, ``_FIELDS`` follow."""
+    made: dict[str, Template] = {}
+    for k, host in enumerate(batch.column(first).to_pylist()):
+        if host not in made:
+            made[host] = _template_of([batch.column(first + 1 + i)[k].as_py() for i in range(len(_FIELDS))])
+    return [made[h] for h in batch.column(first).to_pylist()]
+
+
+def _slot_rows(batches):
+    """(host, token, invalid, chars, links): pages on which the token's class is found invalid, and for the slot after it
+    letters of text and of link text."""
+    for batch in batches:
+        sums: dict[tuple, list[int]] = {}
+        for host, page, template in zip(batch.column(1).to_pylist(), batch.column(0), _templates(batch, 1), strict=True):
+            if not template:
+                continue
+            parsed = Parsed(page.as_py() or "")
+            slots = Slots(parsed, template)
+            for r in parsed.runs:
+                slots.until(r.at)
+                size = len(r.text.strip())
+                if size and slots.slot and r.depth >= slots.slot[2] and parsed.tokens[r.at] not in template:
+                    row = sums.setdefault((host, slots.slot[0]), [0, 0, 0])
+                    row[1] += size
+                    row[2] += size * r.link
+            slots.until(len(parsed.tokens))
+            if slots.invalid:
+                for t, (cls, *_) in template.items():
+                    if cls in slots.invalid:
+                        sums.setdefault((host, t), [0, 0, 0])[0] += 1
+        keys = list(sums)
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64())]
+        columns += [pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "token", "invalid", "chars", "links"])
+
+
+def _by_host(tokens: DataFrame) -> DataFrame:
+    """``(host, *_FIELDS as lists)``."""
+    lists = tokens.groupBy("host").agg(F.collect_list(F.struct(*_FIELDS)).alias("t"))
+    return lists.select("host", *[F.col("t")[c].alias(c) for c in _FIELDS])
+
+
+def candidate_classes(pages: DataFrame) -> DataFrame:
+    """``(host, *_FIELDS)``: tokens of the candidate classes of each host, from ``pages(host, html)``, in their order by mean place."""
+    keyed = pages.withColumn("h", F.xxhash64("html"))
+    contents = persist_table(keyed.groupBy("host", "h").agg(F.count(F.lit(1)).alias("copies")), "html-contents")
+    repeated = persist_table(contents.where("copies > 1"), "html-copies")
+    total = contents.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    rows = by_id(keyed, repeated, ["host", "h"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    rows = rows.mapInArrow(_vector_rows, "host string, token long, pages double, vector long, place long, label int")
     tokens = rows.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.expr("try_sum(cast(vector as decimal(38,0)))").alias("vector"), F.sum("place").alias("place")
-    ).where(F.col("pages") >= MIN_PAGES)
-    tokens = persist_table(tokens, "html-tokens")
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    classes = (
-        tokens.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places")).where((F.col("n") >= MIN_CLASS) & (F.col("n") == F.col("places")))
+        F.round(F.sum("pages")).cast("long").alias("pages"), F.expr("try_sum(cast(vector as decimal(38,0)))").alias("vector"), F.sum("place").alias("place"), F.bit_or("label").alias("label")
     )
-    valid = tokens.join(classes, ["host", "vector"]).join(total, "host").where(F.col("pages") >= F.col("total") * MIN_SHARE)
-    return persist_table(valid.groupBy("host").agg(F.collect_list("token").alias("tokens")), "html-templates")
+    tokens = persist_table(tokens.where(F.col("pages") >= MIN_PAGES).join(total, "host").where(F.col("pages") >= F.col("total") * MIN_SHARE), "html-tokens")
+    classes = tokens.groupBy("host", "vector").agg(F.count(F.lit(1)).cast("int").alias("size"), F.count_distinct("place").alias("places"), F.bit_or("label").alias("any"))
+    classes = classes.where((F.col("size") >= MIN_CLASS) & (F.col("size") == F.col("places")) & (F.col("any").bitwiseAND(TAG) > 0))
+    rank = F.row_number().over(Window.partitionBy("host", "vector").orderBy("place")) - 1
+    out = tokens.join(classes.drop("any", "places"), ["host", "vector"]).withColumns({"cls": F.xxhash64("vector"), "rank": rank})
+    out = persist_table(out.select("host", *_FIELDS), "html-classes")
+    drop_table(contents, repeated, tokens)
+    return out
+
+
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """``(host, *_FIELDS as lists)``: the template of each host, from ``pages(host, html)``; see the module's text."""
+    classes = candidate_classes(pages)
+    lists = persist_table(_by_host(classes), "html-candidates")
+    seen = by_id(pages, lists, "host", "inner").select("html", "host", *_FIELDS)
+    seen = seen.mapInArrow(_slot_rows, "host string, token long, invalid long, chars long, links long")
+    seen = persist_table(seen.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("invalid", "chars", "links")]), "html-slots")
+    menu = (F.col("links") * 2 > F.col("chars")) & (F.col("label").bitwiseAND(BODY) == 0)
+    valid = classes.join(seen, ["host", "token"], "left").where("coalesce(invalid, 0) = 0")
+    label = F.when(menu, F.col("label").bitwiseOR(FURNITURE)).otherwise(F.col("label")).cast("int")
+    out = persist_table(_by_host(valid.withColumn("label", label)), "html-templates")
+    drop_table(classes, lists, seen)
+    return out
 
 
 def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "html", prefix: str = "", keep_html: bool = False) -> DataFrame:
     """``pages`` plus ``text`` (empty if none) and ``n_chars`` (its code points, long). Names take ``prefix``.
 
-    Null and empty html give an empty text; rows without a host share one host. A host's template is bounded by what
-    its pages have in common, and joins the pages by host: broadcast if all templates are proven small, else by a
-    join that splits hot hosts.
+    Null and empty html give an empty text; rows without a host share one host; repeated rows give equal results and
+    count once in the template. An empty table gives an empty result, texts of any length are read whole, and a new name that ``pages`` has, in
+    whatever case, is an error: give a ``prefix``. A host's template is bounded by what its pages have in common, and
+    joins the pages by host: broadcast if all templates are proven small, else by a join that splits hot hosts.
     """
     ship_package(pages.sparkSession)
     with_host = pages.withColumn("__loom_host", host_of(url_col))
     templates = deduce_templates(with_host.select(F.col("__loom_host").alias("host"), F.col(html_col).alias("html")))
-    joined = by_id(with_host, templates.withColumnsRenamed({"host": "__loom_host", "tokens": "__loom_tokens"}), "__loom_host", "left")
+    own = ["__loom_host", *(f"__loom_{c}" for c in _FIELDS)]
+    joined = by_id(with_host, templates.toDF(*own), "__loom_host", "left").select(*pages.columns, *own)
 
     def make():
         def work(batch):
-            col = lambda c: batch.column(batch.schema.get_field_index(c))
-            texts = []
-            sets: dict[str, set[int]] = {}
-            for page, host, tokens in zip(col(html_col), col("__loom_host").to_pylist(), col("__loom_tokens"), strict=True):
-                if host not in sets:
-                    sets[host] = {t & (1 << 64) - 1 for t in tokens.as_py() or ()}
-                texts.append(main_text(page.as_py() or "", sets[host]))
+            html = batch.column(batch.schema.get_field_index(html_col))
+            texts = [main_text(page.as_py() or "", t) for page, t in zip(html, _templates(batch, batch.schema.get_field_index(own[0])), strict=True)]
             return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
         return work
 
-    drop = ["__loom_host", "__loom_tokens"] + ([] if keep_html else [html_col])
-    return with_arrow_columns(joined.select(*pages.columns, "__loom_host", "__loom_tokens"), make, prefixed([("text", T.StringType()), ("n_chars", T.LongType())], prefix), drop)
+    drop = own + ([] if keep_html else [html_col])
+    return with_arrow_columns(joined, make, prefixed([("text", T.StringType()), ("n_chars", T.LongType())], prefix), drop)
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

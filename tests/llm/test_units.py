@@ -137,8 +137,8 @@ def test_html():
         "<article><h1>A &amp;amp; B</h1><p><b>x</b>y<br>z<script>var a='</p>';</script><p>q</p><form>f</form></article>"
         '<section id="comments"><article>reader</article></section><aside>s</aside><footer>f'
     )
-    assert htmltext.main_text(page, set()) == "A &amp; B xy z q"
-    assert htmltext.main_text("", set()) == "" and htmltext.main_text("plain &lt;b&gt;", set()) == "plain <b>"
+    assert htmltext.main_text(page, {}) == "A &amp; B xy z q"
+    assert htmltext.main_text("", {}) == "" and htmltext.main_text("plain &lt;b&gt;", {}) == "plain <b>"
 
 
 def test_digest_helpers():
