@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
+from corpusloom.llm.arrowmap import map_batches, prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id
 from corpusloom.llm.textblocks import mix
 from corpusloom.session import drop_table, persist_table, ship_package
@@ -320,7 +320,7 @@ def candidate_classes(pages: DataFrame) -> DataFrame:
     repeated = persist_table(contents.where("copies > 1"), "html-copies")
     total = contents.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     rows = by_id(keyed, repeated, ["host", "h"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
-    rows = rows.mapInArrow(_vector_rows, "host string, token long, pages double, vector long, place long, label int")
+    rows = map_batches(rows, _vector_rows, "host string, token long, pages double, vector long, place long, label int")
     tokens = rows.groupBy("host", "token").agg(
         F.round(F.sum("pages")).cast("long").alias("pages"), F.expr("try_sum(cast(vector as decimal(38,0)))").alias("vector"), F.sum("place").alias("place"), F.bit_or("label").alias("label")
     )
@@ -339,7 +339,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     classes = candidate_classes(pages)
     lists = persist_table(_by_host(classes), "html-candidates")
     seen = by_id(pages, lists, "host", "inner").select("html", "host", *_FIELDS)
-    seen = seen.mapInArrow(_slot_rows, "host string, token long, invalid long, chars long, links long")
+    seen = map_batches(seen, _slot_rows, "host string, token long, invalid long, chars long, links long")
     seen = persist_table(seen.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("invalid", "chars", "links")]), "html-slots")
     menu = (F.col("links") * 2 > F.col("chars")) & (F.col("label").bitwiseAND(BODY) == 0)
     valid = classes.join(seen, ["host", "token"], "left").where("coalesce(invalid, 0) = 0")

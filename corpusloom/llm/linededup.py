@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowmap import with_arrow_columns
+from corpusloom.llm.arrowmap import map_batches, with_arrow_columns
 from corpusloom.llm.idjoin import by_id, unrepeated, whole_ids
 from corpusloom.llm.minhash import linked_components
 from corpusloom.llm.textblocks import LOWER, Block, blocks, long_list, mix, stream
@@ -162,7 +162,7 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _keyed(docs, id_col, text_col)
     own = [T.StructField("doc", keyed.schema["doc"].dataType), T.StructField("tk", T.LongType()), T.StructField("line", T.IntegerType())]
     schema = T.StructType([*own, T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    lines = persist_table(keyed.mapInArrow(_line_rows, schema).withColumn("id", F.monotonically_increasing_id()), "lines")
+    lines = persist_table(map_batches(keyed, _line_rows, schema).withColumn("id", F.monotonically_increasing_id()), "lines")
     classes = persist_table(lines.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("hi")).where("rep < hi").drop("hi"), "line-classes")
     copies = persist_table(lines.select("f1", "f2", "id").join(classes, ["f1", "f2"]).where("id <> rep").select("id", "rep"), "line-copies")
     bands = by_id(lines.select("id", "keys"), copies.select("id"), "id", "left_anti").select(F.explode("keys").alias("key"), "id")
@@ -170,7 +170,7 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def items_of(ids: DataFrame) -> DataFrame:
         of_doc = by_id(lines.select("doc", "tk", "line", "id"), ids, "id", "left_semi")
         wanted = persist_table(of_doc.groupBy("doc", "tk").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "line-wanted")
-        out = by_id(keyed, wanted, ["doc", "tk"], "inner", True).select("text", "wanted").mapInArrow(_item_rows, "id long, item string")
+        out = map_batches(by_id(keyed, wanted, ["doc", "tk"], "inner", True).select("text", "wanted"), _item_rows, "id long, item string")
         # rows that repeat an id and a text give equal items
         return out if single else out.dropDuplicates(["id"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
+from corpusloom.llm.arrowmap import map_batches, prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id, unrepeated
 from corpusloom.llm.textblocks import NOT_SPACE, blocks, gram_hash, long_list, mix, stream, words
 from corpusloom.operators.graph import connected_components
@@ -159,7 +159,7 @@ def shingle_counts(items: DataFrame, sets) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
 
-    rows = items.select("item").mapInArrow(count_rows, "place int, n long").groupBy("place").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
+    rows = map_batches(items.select("item"), count_rows, "place int, n long").groupBy("place").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n"))
     count = np.zeros(1 << COUNT_BITS, np.uint16)
     found = rows.toArrow()
     count[found["place"].to_numpy()] = found["n"].to_numpy()
@@ -216,7 +216,8 @@ def exact_candidates(items: DataFrame, percent: int, sets=stored_sets) -> DataFr
     spark = items.sparkSession
     ship_package(spark)
     count = shingle_counts(items, sets)
-    rows = items.select("id", "component", "item").mapInArrow(
+    rows = map_batches(
+        items.select("id", "component", "item"),
         _prefix_rows(spark.sparkContext.broadcast(count), percent, sets),
         T.StructType([T.StructField("g", T.LongType()), T.StructField("component", items.schema["component"].dataType), T.StructField("id", items.schema["id"].dataType), *prefixed([("n", T.LongType()), ("at", T.LongType()), ("short", T.BooleanType())], "")]),
     )

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrowmap import map_batches
+
 #: Bits a name at least, and probes.
 BITS_A_NAME, PROBES = 12, 5
 
@@ -44,7 +46,7 @@ class NameFilter:
             place = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(table[place].view(np.int64))], names=["place", "word"])
 
-        found = names.select(column).mapInArrow(rows, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
+        found = map_batches(names.select(column), rows, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
         table = np.zeros(1 << bits >> 6, np.uint64)
         table[found["place"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
         return cls(names.sparkSession.sparkContext.broadcast(table), bits)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowmap import with_arrow_columns
+from corpusloom.llm.arrowmap import map_batches, with_arrow_columns
 from corpusloom.llm.idjoin import by_id, whole_ids
 from corpusloom.llm.namefilter import NameFilter
 from corpusloom.llm.textblocks import NOT_SPACE, blocks, gram_hash, mix, stream, words
@@ -239,7 +239,7 @@ def _packed(rows: DataFrame, *columns: str) -> DataFrame:
                 out.append(pa.array(packed, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[*(f.name for f in keys), *columns])
 
-    return rows.mapInArrow(run, T.StructType([*keys, *(T.StructField(c, T.BinaryType()) for c in columns)]))
+    return map_batches(rows, run, T.StructType([*keys, *(T.StructField(c, T.BinaryType()) for c in columns)]))
 
 
 def _window_rows(shared: NameFilter | None):
@@ -297,7 +297,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fil
     unnamed = not docs.where(F.col(id_col).isNull()).isEmpty()
     ranges_of = lambda rows, keep: F.collect_set(F.when(keep, F.struct("lo", "hi"))).alias(rows)
 
-    spans = keyed.mapInArrow(_anchor_rows, fields(["name"], ["lo", "hi"]))
+    spans = map_batches(keyed, _anchor_rows, fields(["name"], ["lo", "hi"]))
     shared = persist_table(_first_documents(spans, ["name"], unnamed).select("name"), "repeat-anchors")
     anchored = NameFilter.of(shared, F.col("name"), filter_bits)
     if anchored is not None:
@@ -305,7 +305,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fil
     else:
         ranges = persist_table(_packed(spans.join(shared, "name").groupBy("doc", "tk").agg(ranges_of("r", F.lit(True))), "r"), "repeat-alive")
         alive = by_id(keyed, ranges, ["doc", "tk"], "inner", True).select("doc", "tk", "text", "r")
-    found_blocks = persist_table(alive.mapInArrow(_block_rows(anchored), fields(["b1", "b2"], ["lo", "hi"])), "repeat-blocks")
+    found_blocks = persist_table(map_batches(alive, _block_rows(anchored), fields(["b1", "b2"], ["lo", "hi"])), "repeat-blocks")
     drop_table(shared)
     source = persist_table(_first_documents(found_blocks, ["b1", "b2"], unnamed), "repeat-block-sources")
     judged = found_blocks.join(source, ["b1", "b2"], "left").groupBy("doc", "tk").agg(ranges_of("settled", _later()), ranges_of("open", ~_later()))
@@ -314,7 +314,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fil
 
     rest = persist_table(judged.where("open is not null").select("doc", "tk", "open"), "repeat-open")
     texts = by_id(keyed, rest, ["doc", "tk"], "inner", True).select("doc", "tk", "text", "open")
-    windows = lambda shared: texts.mapInArrow(_window_rows(shared), fields(["w1", "w2"], ["at"]))
+    windows = lambda shared: map_batches(texts, _window_rows(shared), fields(["w1", "w2"], ["at"]))
     # half a name tells which windows may have a partner; those are named once more, in full
     likely = persist_table(_first_documents(windows(None), ["w1"], unnamed).select("w1"), "repeat-likely")
     again = persist_table(windows(NameFilter.of(likely, F.col("w1"), filter_bits)), "repeat-windows")

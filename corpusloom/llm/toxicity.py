@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrowmap import prefixed, with_arrow_columns
+from corpusloom.llm.arrowmap import map_batches, prefixed, with_arrow_columns
 from corpusloom.llm.idjoin import by_id
 from corpusloom.session import persist_table, ship_package
 
@@ -200,7 +200,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not n1 or not n0:
         return Lexicon({}, list(EXCEPTIONS))
     totals = F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    counts = rows.mapInArrow(_count_rows, "entry string, toxic long, clean long").groupBy("entry").agg(*totals)
+    counts = map_batches(rows, _count_rows, "entry string, toxic long, clean long").groupBy("entry").agg(*totals)
     a, b = F.col("toxic"), F.col("clean")
     p = n1 / (n1 + n0)
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
@@ -215,7 +215,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         a, b = found[e]
         weights[e] = math.log((a + SHRINK * p) / (b + SHRINK * (1 - p))) - prior
     b = F.col("clean")
-    phrases = rows.mapInArrow(_phrase_rows(sorted(weights)), "entry string, toxic long, clean long").groupBy("entry").agg(*totals)
+    phrases = map_batches(rows, _phrase_rows(sorted(weights)), "entry string, toxic long, clean long").groupBy("entry").agg(*totals)
     harmless = phrases.where((b >= 5) & (F.col("toxic") <= 0.1 * b)).orderBy(b.desc(), "entry").limit(LEXICON_ENTRIES).collect()
     out = Lexicon(weights, sorted({*EXCEPTIONS, *(r.entry for r in harmless)}))
     return _fit_curve(out, everything.where("curve").drop("curve"))
