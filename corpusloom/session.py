@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,22 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Seconds between two collections of what finished steps left with the executors.
+RELEASE_SECONDS = 10.0
+_RELEASED = [0.0]
+
+
+def release_finished(spark: SparkSession) -> None:
+    """Let executors drop broadcasts of finished steps, which Spark does only once the driver has collected their handles.
+
+    The driver's heap fills slowly, so without this every list that a step broadcast stays in the executors' memory.
+    """
+    if time.monotonic() - _RELEASED[0] >= RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED[0] = time.monotonic()
+
+
 #: Where Spark knows it: shuffle files go with the query that made them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -81,6 +99,7 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
+    release_finished(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
