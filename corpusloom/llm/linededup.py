@@ -110,6 +110,8 @@ def bucket_keys(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 _LIMIT = 1 << 19
+#: Texts whose lines are in memory together.
+_TEXTS = 1000
 
 
 def _line_rows(batches):
@@ -134,13 +136,13 @@ def _line_rows(batches):
 def _item_rows(batches):
     """(id, item): the lines wanted of each text, without outer white space."""
     for batch in batches:
-        ids, items = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            lines = text.as_py().split("\n")
-            for want in wanted.as_py():
-                ids.append(want["id"])
-                items.append(lines[want["line"]].strip(" \t\x0b\x0c\r"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.string())], names=["id", "item"])
+        for lo in range(0, batch.num_rows, _TEXTS):
+            texts, wanted, ids = (c.slice(lo, _TEXTS) for c in batch.columns)
+            items = []
+            for text, numbers in zip(texts, wanted.to_pylist(), strict=True):
+                lines = text.as_py().split("\n")
+                items += [lines[k].strip(" \t\x0b\x0c\r") for k in numbers]
+            yield pa.RecordBatch.from_arrays([ids.flatten().cast(pa.int64()), pa.array(items, pa.string())], names=["id", "item"])
 
 
 def sets_of_lines(column: pa.Array) -> list[np.ndarray]:
@@ -169,8 +171,10 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def items_of(ids: DataFrame) -> DataFrame:
         of_doc = by_id(lines.select("doc", "tk", "line", "id"), ids, "id", "left_semi")
-        wanted = persist_table(of_doc.groupBy("doc", "tk").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "line-wanted")
-        out = map_batches(by_id(keyed, wanted, ["doc", "tk"], "inner", True).select("text", "wanted"), _item_rows, "id long, item string")
+        lists = of_doc.groupBy("doc", "tk").agg(F.collect_list(F.struct("line", "id")).alias("w"))
+        # two plain lists take 12 bytes a line in a broadcast, a list of structs 32
+        wanted = persist_table(lists.select("doc", "tk", F.col("w.line").alias("wanted"), F.col("w.id").alias("ids")), "line-wanted")
+        out = map_batches(by_id(keyed, wanted, ["doc", "tk"], "inner", True).select("text", "wanted", "ids"), _item_rows, "id long, item string")
         # rows that repeat an id and a text give equal items
         return out if single else out.dropDuplicates(["id"])
 
