@@ -294,6 +294,27 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: st
     return with_arrow_columns(df, _with_codec(df, ranks, pattern, work), [T.StructField(bytes_col, T.BinaryType())], [] if keep_ids else [ids_col])
 
 
+def encode_checked(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``df`` plus ``ids`` (list<int>), ``n_tokens`` and ``round_trip``: whether the ids decode to the text byte by byte.
+
+    One pass, so a task holds one codec. Null and empty texts have no ids and round-trip.
+    """
+
+    def work(codec, batch):
+        flat, size, same = [], [0], []
+        for part in _texts(batch, text_col):
+            ids = [_parse(e) for e in codec.encode(part)]
+            same += [t.encode("utf-8") == d for t, d in zip(part, codec.decode(ids), strict=True)]
+            for x in ids:
+                flat.append(x)
+                size.append(size[-1] + len(x))
+        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        return [pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(np.diff(size).astype(np.int64)), pa.array(same, pa.bool_())]
+
+    fields = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType())]
+    return with_arrow_columns(df, _with_codec(df, ranks, pattern, work), prefixed(fields, prefix))
+
+
 DIGEST = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
 

@@ -13,3 +13,16 @@ def test_a_word_beyond_the_places_is_refused(monkeypatch):
     monkeypatch.setattr(bpe, "PLACE_BITS", 6)
     with pytest.raises(ValueError):
         codec.encode_words([b"abc" * 30])
+
+
+def test_encode_checked_equals_encoding_and_decoding(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257, "é".encode(): 258}
+    rows = [(1, "abab ab é b"), (2, None), (3, ""), (1, "abab ab é b"), (4, "ab" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bpe.encode_checked(docs, ranks, r"\S+|\s+").select("doc_id", "ids", "n_tokens", "round_trip")
+    want = bpe.encode_texts(docs, ranks, r"\S+|\s+").select("doc_id", "ids")
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == sorted((r.doc_id, r.ids) for r in want.collect())
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.collect())
+    assert not bpe.encode_checked(docs.limit(0), ranks, r"\S+").collect()
+    with pytest.raises(ValueError):
+        bpe.encode_checked(docs.selectExpr("*", "1 AS N_Tokens"), ranks, r"\S+")

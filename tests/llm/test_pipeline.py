@@ -27,3 +27,11 @@ def test_pipeline(spark, tmp_path):
     assert out[404].n_chars == len(out[404].text) and all(x.round_trip for x in out.values())
     # copies lose their line to the first document; nothing of them is left to compare
     assert 400 not in out or out[400].text == ""
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "text", "ids", "n_tokens", "round_trip"} <= set(out.columns) and not out.collect()
