@@ -13,6 +13,7 @@ benchmark takes more passes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,14 +160,13 @@ def _matcher(shared, text_col: str, window: int):
     return make
 
 
-def _test_blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark's rows, a bounded number of bytes at a time."""
+def _test_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks of bounded bytes the benchmark's rows take, and the rows of each."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + F.length("i") + 64), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // TEST_BLOCK_BYTES))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted((r.i, r.t) for r in part.collect())
+    part = lambda k: rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+    return n, (sorted((r.i, r.t) for r in part(k).collect()) for k in range(n))
 
 
 def find_matches(
@@ -181,7 +181,7 @@ def find_matches(
     out, spark = docs, docs.sparkSession
     fields = prefixed([("n_words", T.LongType()), ("matches", _MATCH)], prefix)
     n, m = prefix + "n_words", prefix + "matches"
-    for k, items in enumerate(_test_blocks(benchmark, item_id, item_text)):
+    for k, items in enumerate(_test_blocks(benchmark, item_id, item_text)[1]):
         shared = spark.sparkContext.broadcast(TestSuffixes(items, window))
         if not k:
             out = with_arrow_columns(out, _matcher(shared, text_col, window), fields)
@@ -195,41 +195,66 @@ def find_matches(
 def _summary(n_col: str, m_col: str):
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            total = batch.column(batch.schema.get_field_index(n_col)).to_pylist()
-            matches = batch.column(batch.schema.get_field_index(m_col))
-            sizes = np.diff(np.asarray(matches.offsets)) if not matches.null_count else np.array([len(x or ()) for x in matches.to_pylist()])
-            items, digest, longest = [0] * len(total), [_EMPTY] * len(total), [0] * len(total)
-            hit = np.zeros(len(total), np.int64)
-            for i in np.flatnonzero(sizes).tolist():
-                found = matches[i].as_py()
-                names = sorted({x["item_id"] for x in found})
-                end = -1
-                for a, b in sorted((x["doc_word"], x["doc_word"] + x["n_words"]) for x in found):
-                    hit[i] += max(0, b - max(a, end))
-                    end = max(end, b)
-                items[i], digest[i] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
-                longest[i] = max(x["n_words"] for x in found)
-            bad = (hit > 0) & (20 * hit >= np.array(total, np.int64))
-            return [pa.array(hit), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), pa.array(longest, pa.int64())]
+            return _summarise(*(batch.column(batch.schema.get_field_index(c)) for c in (n_col, m_col)))
 
         return work
 
     return make
 
 
+def _matched_and_summarised(shared, text_col: str, window: int):
+    """Both in one map, so that a task keeps one worker."""
+
+    def make():
+        match = _matcher(shared, text_col, window)()
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = match(batch)
+            return [*found, *_summarise(*found)]
+
+        return work
+
+    return make
+
+
+def _summarise(n_words: pa.Array, matches: pa.Array) -> list[pa.Array]:
+    total = n_words.to_pylist()
+    sizes = np.diff(np.asarray(matches.offsets)) if not matches.null_count else np.array([len(x or ()) for x in matches.to_pylist()])
+    items, digest, longest = [0] * len(total), [_EMPTY] * len(total), [0] * len(total)
+    hit = np.zeros(len(total), np.int64)
+    for i in np.flatnonzero(sizes).tolist():
+        found = matches[i].as_py()
+        names = sorted({x["item_id"] for x in found})
+        end = -1
+        for a, b in sorted((x["doc_word"], x["doc_word"] + x["n_words"]) for x in found):
+            hit[i] += max(0, b - max(a, end))
+            end = max(end, b)
+        items[i], digest[i] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+        longest[i] = max(x["n_words"] for x in found)
+    bad = (hit > 0) & (20 * hit >= np.array(total, np.int64))
+    return [pa.array(hit), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), pa.array(longest, pa.int64())]
+
+
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", prefix: str = "", **kw) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", prefix: str = "", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
     """``find_matches`` plus n_hit, n_items, items_sha256, contaminated and longest.
 
     n_hit counts words inside any match; contaminated means n_hit > 0 and at least a twentieth of the words.
     Ids are compared and listed as strings, sorted, each once. A document without words is never contaminated.
     """
-    found = find_matches(docs, benchmark, text_col, prefix=prefix, **kw)
     fields = prefixed(
         [("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest", T.LongType())], prefix
     )
+    n_blocks, tests = _test_blocks(benchmark, item_id, item_text)
+    if n_blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes(next(tests), window))
+        first = prefixed([("n_words", T.LongType()), ("matches", _MATCH)], prefix)
+        return with_arrow_columns(docs, _matched_and_summarised(shared, text_col, window), first + fields)
+    found = find_matches(docs, benchmark, text_col, item_id, item_text, window, prefix)
     return with_arrow_columns(found, _summary(prefix + "n_words", prefix + "matches"), fields)
 
 
