@@ -68,9 +68,7 @@ def _classified(t):
     files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("source").alias("repo"), F.col("text").alias("t")).unionAll(
         t.pages.select(F.concat(F.lit("p"), F.col("page_id")), F.lit("web"), F.col("html"))
     )
-    scored = files.withColumn("n_signals", classify.n_signals(F.col("t")))
-    why = scored.select("id", "repo", "n_signals", F.octet_length("t").cast("long").alias("bytes"), classify.reason(F.col("t"), F.col("n_signals")).alias("reason"))
-    return why.withColumn("n_signals", F.when(F.col("reason").isin(*classify.COUNTED), F.col("n_signals")).otherwise(0))
+    return classify.classified(files, "t")
 
 
 @query(_CLASSIFIED + "SELECT reason, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(n_signals) AS BIGINT) AS n_signals FROM r GROUP BY reason")
