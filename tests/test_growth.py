@@ -1,10 +1,14 @@
 """Queries whose work once grew past its limit: each piece is done once, with the results of the plain way."""
 
+import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import classify
+from corpusloom.operators import evaluation
+from corpusloom.operators.draws import uniforms
 from corpusloom.plans import QUERIES
 
 
@@ -46,3 +50,31 @@ def test_hints_lose_no_signal_and_the_cascade_is_as_before(spark):
     counted = ("too-few-q-signals", "signal-sparse", "keep")
     assert {r.id: (r.n_signals, r.reason) for r in got} == {r.id: (r.n if r.reason in counted else 0, r.reason) for r in want}
     assert {r.reason for r in got} >= {"empty", "json", "ini/quickmacro", "cjk-heavy", "html", "python/js", "too-few-q-signals", "keep"}
+
+
+def test_array_draws_are_the_hashes():
+    for seed, start, stop in (("boot", 0, 1200), ("é" * 20, 95, 105), ("s" * 38, 0, 120), ("s" * 49, 0, 12), ("s" * 70, 8, 12), ("s" * 120, 0, 1001), ("x", 99_990, 100_010), ("x", 3, 3)):
+        resamples, got = [0, 7, 10, 99, 1234], {}
+        for some, u in uniforms(seed, resamples, start, stop):
+            for b, row in zip(some, u, strict=True):
+                got.setdefault(b, []).append(row)
+        for b in resamples:
+            want = [int(hashlib.md5(f"{seed}:{b}:{j}".encode()).hexdigest()[:8], 16) for j in range(start, stop)]
+            assert np.concatenate(got.get(b, [np.array([], int)])).tolist() == want, (seed, b)
+
+
+def test_bootstrap_sums_arrays_not_rows(spark, monkeypatch):
+    schema = "idx long, x double"
+    cases = [[(i, i * i % 7 / 3) for i in range(137)], [(0, 1.5), (1, None), (2, 2.5)], [(0, None)], []]
+    for rows in cases:
+        values = spark.createDataFrame(rows, schema)
+        held, joined = (evaluation.bootstrap(values, "x", 40, "boot", most) for most in (1 << 20, -1))
+        got = held.first()
+        rounded = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        assert rounded(got) == rounded(joined.first()), rows
+        assert "Generate" not in optimized(held) and "Generate" in optimized(joined)
+    # one resample's places dealt to several tasks
+    values = spark.createDataFrame(cases[0], schema)
+    whole = evaluation.bootstrap(values, "x", 40, "boot").first()
+    monkeypatch.setattr(evaluation, "PLACES", 50)
+    assert rounded(evaluation.bootstrap(values, "x", 40, "boot").first()) == rounded(whole)
