@@ -78,3 +78,15 @@ def test_bootstrap_sums_arrays_not_rows(spark, monkeypatch):
     whole = evaluation.bootstrap(values, "x", 40, "boot").first()
     monkeypatch.setattr(evaluation, "PLACES", 50)
     assert rounded(evaluation.bootstrap(values, "x", 40, "boot").first()) == rounded(whole)
+
+
+def test_paired_resamples_draw_the_same_places(spark, tmp_path):
+    rows = [(u, kind, float(v)) for u in range(30) for kind, v in (("click", u * 37 % 100), ("view", u * 11 % 90), ("error", u * 53 % 100), ("signup", 60))] + [(99, "click", 70.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["paired_bootstrap"](spark, str(tmp_path))
+    assert "Generate" not in optimized(df)
+    rate = lambda u, left: np.mean([v > 50 for w, kind, v in rows if w == u and (kind in ("click", "view")) == left])
+    x = np.array([rate(u, True) - rate(u, False) for u in range(30)])
+    means = sorted(np.mean([x[int(hashlib.md5(f"pair:{b}:{j}".encode()).hexdigest()[:8], 16) % 30] for j in range(30)]) for b in range(10_000))
+    got = df.first()
+    assert got["n"] == 30 and np.allclose([got["mean"], got["lo"], got["hi"]], [x.mean(), means[250], means[9750]], atol=2e-6)
