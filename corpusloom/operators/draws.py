@@ -18,10 +18,10 @@ _FIRST_WORD = 61
 CELLS = 1 << 14
 
 
-def _steps(state: list[np.ndarray], words: list[np.ndarray], n: int, turned: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
+def _steps(state: list[np.ndarray], words: list[int | np.ndarray], n: int, turned: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
     """The state after ``n`` steps over one block, in the arrays of ``state`` and ``free`` themselves.
 
-    ``words``: the block's 16, in the shape of the state or one that spreads to it.
+    ``words``: the block's 16, each a number where all cells share it, a column where a row does, else a grid.
     """
     a, b, c, d = state
     t = free
@@ -42,12 +42,14 @@ def _steps(state: list[np.ndarray], words: list[np.ndarray], n: int, turned: np.
             np.bitwise_or(t, b, out=t)
             np.bitwise_xor(t, c, out=t)
         np.add(t, a, out=t)
-        word, sine = words[_WORDS[i]], np.uint32(_SINES[i])
-        if word.shape == t.shape:
+        word, sine = words[_WORDS[i]], _SINES[i]
+        if isinstance(word, int):
+            np.add(t, np.uint32(word + sine & 0xFFFFFFFF), out=t)
+        elif word.shape == t.shape:
             np.add(t, word, out=t)
-            np.add(t, sine, out=t)
+            np.add(t, np.uint32(sine), out=t)
         else:
-            np.add(t, word + sine, out=t)
+            np.add(t, word + np.uint32(sine), out=t)
         np.left_shift(t, np.uint32(_TURNS[i]), out=turned)
         np.right_shift(t, np.uint32(32 - _TURNS[i]), out=t)
         np.bitwise_or(t, turned, out=t)
@@ -56,19 +58,26 @@ def _steps(state: list[np.ndarray], words: list[np.ndarray], n: int, turned: np.
     return [a, b, c, d]
 
 
-def _grid(heads: list[bytes], places: np.ndarray, digits: int) -> np.ndarray:
-    """Draws of every head (all of one length) followed by every place (all of ``digits`` digits)."""
+def _laid(lo: int, hi: int, digits: int, left: int) -> dict[int, np.ndarray]:
+    """The words that hold the places ``lo`` to ``hi``, of ``digits`` digits each, behind a head of ``left`` bytes: zero where the head is."""
+    first, last = left // 4, (left + digits - 1) // 4
+    moving = np.zeros((hi - lo, 4 * (last - first + 1)), np.uint8)
+    moving[:, left - 4 * first : left - 4 * first + digits] = np.arange(lo, hi)[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + ord("0")
+    # a row for each word, so that a step reads its places one after another
+    return dict(enumerate(np.ascontiguousarray(moving.view("<u4").T).astype(np.uint32, copy=False), first))
+
+
+def _grid(heads: list[bytes], moving: dict[int, np.ndarray], digits: int) -> np.ndarray:
+    """Draws of every head (all of one length) followed by every place of ``moving`` (all of ``digits`` digits)."""
     left, total = len(heads[0]), len(heads[0]) + digits
     blocks = (total + 8) // 64 + 1
     fixed = np.zeros((len(heads), 64 * blocks), np.uint8)
     fixed[:, :left] = np.frombuffer(b"".join(heads), np.uint8).reshape(len(heads), left)
     fixed[:, total] = 0x80
     fixed[:, -8:] = np.frombuffer((8 * total).to_bytes(8, "little"), np.uint8)
-    moving = np.zeros((len(places), 64 * blocks), np.uint8)
-    moving[:, left:total] = places[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + ord("0")
-    fixed, moving = (x.view("<u4").astype(np.uint32) for x in (fixed, moving))
-    shape = (len(heads), len(places))
-    word = lambda k: fixed[:, k, None] | moving[None, :, k] if left // 4 <= k <= (total - 1) // 4 else fixed[:, k, None] if 4 * k < left else fixed[:1, k, None]
+    fixed = fixed.view("<u4").astype(np.uint32)
+    shape = (len(heads), len(next(iter(moving.values()))))
+    word = lambda k: fixed[:, k, None] | moving[k] if k in moving else fixed[:, k, None] if 4 * k < left and len(heads) > 1 else int(fixed[0, k])
     old = [np.full(shape, x, np.uint32) for x in _BEGIN]
     turned, free = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
     for block in range(blocks):
@@ -91,9 +100,10 @@ def uniforms(seed: str, resamples: list[int], start: int, stop: int) -> Iterator
     while lo < stop:
         digits = len(str(lo))
         hi = min(stop, 10**digits, lo + CELLS)
-        places = np.arange(lo, hi)
         rows = max(1, CELLS // (hi - lo))
         for same in alike.values():
+            # all resamples of one length share the places' words
+            moving = _laid(lo, hi, digits, len(f"{seed}:{same[0]}:".encode()))
             for i in range(0, len(same), rows):
-                yield same[i : i + rows], _grid([f"{seed}:{b}:".encode() for b in same[i : i + rows]], places, digits)
+                yield same[i : i + rows], _grid([f"{seed}:{b}:".encode() for b in same[i : i + rows]], moving, digits)
         lo = hi

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import classify
-from corpusloom.operators import evaluation
+from corpusloom.operators import draws, evaluation
 from corpusloom.operators.draws import uniforms
 from corpusloom.plans import QUERIES
 
@@ -63,6 +63,14 @@ def test_array_draws_are_the_hashes():
             assert np.concatenate(got.get(b, [np.array([], int)])).tolist() == want, (seed, b)
 
 
+def test_places_are_laid_out_once_for_all_resamples(monkeypatch):
+    laid, plain = [], draws._laid
+    monkeypatch.setattr(draws, "_laid", lambda lo, hi, *more: laid.append((lo, hi)) or plain(lo, hi, *more))
+    cells = sum(u.size for _, u in uniforms("pair", list(range(1000, 1040)), 100_000, 150_000))
+    assert cells == 40 * 50_000
+    assert [lo for lo, _ in laid] == list(range(100_000, 150_000, draws.CELLS)) and laid[-1][1] == 150_000
+
+
 def test_bootstrap_sums_arrays_not_rows(spark, monkeypatch):
     schema = "idx long, x double"
     cases = [[(i, i * i % 7 / 3) for i in range(137)], [(0, 1.5), (1, None), (2, 2.5)], [(0, None)], []]
