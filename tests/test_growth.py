@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import classify
-from corpusloom.operators import draws, evaluation
+from corpusloom.operators import evaluation
 from corpusloom.operators.draws import uniforms
 from corpusloom.plans import QUERIES
 
@@ -64,11 +64,12 @@ def test_array_draws_are_the_hashes():
 
 
 def test_places_are_laid_out_once_for_all_resamples(monkeypatch):
-    laid, plain = [], draws._laid
-    monkeypatch.setattr(draws, "_laid", lambda lo, hi, *more: laid.append((lo, hi)) or plain(lo, hi, *more))
-    cells = sum(u.size for _, u in uniforms("pair", list(range(1000, 1040)), 100_000, 150_000))
-    assert cells == 40 * 50_000
-    assert [lo for lo, _ in laid] == list(range(100_000, 150_000, draws.CELLS)) and laid[-1][1] == 150_000
+    made, plain = [], np.arange
+    monkeypatch.setattr(np, "arange", lambda *args: made.append(args) or plain(*args))
+    assert sum(u.size for _, u in uniforms("pair", [1000], 100_000, 150_000)) == 50_000
+    once = len(made)
+    assert sum(u.size for _, u in uniforms("pair", list(range(1000, 1040)), 100_000, 150_000)) == 40 * 50_000
+    assert 0 < once == len(made) - once
 
 
 def test_bootstrap_sums_arrays_not_rows(spark, monkeypatch):
